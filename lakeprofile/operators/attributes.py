@@ -14,10 +14,10 @@ def json_attributes(df: DataFrame, column: str) -> DataFrame:
     Unparsable text contributes nothing.
     """
     def members(source: DataFrame, value: str) -> DataFrame:
-        source.createOrReplaceTempView("_attribute_source")
         return source.sparkSession.sql(
-            f"SELECT s.*, e.key AS _key, e.value AS _value FROM _attribute_source s, "
-            f"LATERAL variant_explode(s.{value}) e"
+            "SELECT s.*, e.key AS _key, e.value AS _value FROM {source} s, LATERAL variant_explode(s.{value}) e",
+            source=source,
+            value=source[value],
         )
 
     parsed = df.select(F.try_parse_json(F.col(column)).alias("_root")).filter(F.col("_root").isNotNull())

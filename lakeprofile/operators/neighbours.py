@@ -74,7 +74,7 @@ def _distinct_enough(train: DataFrame, k: int) -> DataFrame:
     return train.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1).drop("_copy")
 
 
-def _in_blocks(queries: DataFrame, train: DataFrame, n_train: int, k: int, metric: str) -> tuple[DataFrame, DataFrame]:
+def _in_blocks(queries: DataFrame, train: DataFrame, k: int, metric: str) -> tuple[DataFrame, DataFrame]:
     """Both sides with the (block, chunk) groups in which they have to meet.
 
     Every training row belongs to the cell of its nearest pivot; cells are cut into blocks of bounded size. With
@@ -100,12 +100,10 @@ def _in_blocks(queries: DataFrame, train: DataFrame, n_train: int, k: int, metri
     def nearest_pivot(column: str):
         return (F.array_position(column, F.array_min(column)) - 1).cast("int")
 
-    blocks_per_cell = max(1, -(-n_train // (BLOCK_ROWS * 4)))
     placed = (
         train.withColumn("_to", distances(F.col("features")))
         .withColumn("cell", nearest_pivot("_to"))
         .withColumn("_dist", F.array_min("_to"))
-        .withColumn("block", F.pmod(F.xxhash64("tid"), F.lit(blocks_per_cell)).cast("int"))
         .drop("_to")
     )
     # Cells differ in size: the number of blocks follows the count of each cell.
@@ -131,7 +129,7 @@ def _in_blocks(queries: DataFrame, train: DataFrame, n_train: int, k: int, metri
         "block", F.pmod(F.xxhash64("tid"), F.element_at(blocks_of, F.col("cell"))).cast("int")
     ).drop("_dist")
 
-    # A cell of at least k + 1 + held-out rows lies within pivot distance plus its radius of the query.
+    # All rows of a cell lie within the pivot distance plus the radius of the cell; one may be the query itself.
     spare = k + 1
     reaches = F.transform(
         cell_list,
@@ -185,8 +183,8 @@ def nearest(
             T.StructField("dist", T.DoubleType()),
         ]
     )
-    n_train, n_values = train.agg(F.count(F.lit(1)), F.sum(F.size("features"))).first()
-    if (n_values or 0) <= broadcast_values:
+    n_values = train.agg(F.sum(F.size("features"))).first()[0] or 0
+    if n_values <= broadcast_values:
         table = train.toPandas()
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,7 +196,7 @@ def nearest(
     elif mode == "splits":
         raise ValueError("hold-outs need a training table below the broadcast bound")
     else:
-        visits, placed = _in_blocks(queries, train, n_train, k, metric)
+        visits, placed = _in_blocks(queries, train, k, metric)
         chunks = query_chunks or max(1, -(-queries.count() // (QUERY_ROWS * 16)))
         visits = visits.withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int"))
         placed = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
