@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakeprofile.catalog import Entry, sql, table
 from lakeprofile.functions import scalar as S
 from lakeprofile.operators.features import feature_columns
-from lakeprofile.operators.profile import profile_columns
+from lakeprofile.operators.profile import profile_columns, with_averages
 
 NUMERIC = {
     "lineitem": (
@@ -26,14 +26,19 @@ NUMERIC = {
 
 
 def flat(profile: DataFrame, *keys: str) -> DataFrame:
-    """Profile rows without arrays, averages and totals at a fixed scale."""
+    """Profile rows without arrays, the total in cents and the averages of that total.
+
+    The last digits of a sum of doubles depend on the order of the rows, so an average that lies half-way
+    between two shown values could be shown either way; all values here are whole cents, and so is the total.
+    """
     def extreme(side: str, i: int) -> Column:
         return S.item(F.col(side), i).alias(f"{side}_{i + 1}")
 
-    return profile.select(
+    in_cents = with_averages(profile.withColumn("total", S.round_half_away(F.col("total"), F.lit(2))))
+    return in_cents.select(
         *keys, "ordinal", "name", "n_values", "n_rows",
         *[extreme(side, i) for side in ("min", "max") for i in range(3)],
-        S.round_half_away(F.col("total"), F.lit(2)).alias("total"),
+        "total",
         F.col("precision").cast("long").alias("precision"),
         S.round_half_away(F.col("avg_exact"), F.lit(6)).alias("avg_exact"),
         "avg", "avg_compat",

@@ -40,7 +40,8 @@ def profile(cells: str, keys: str, n_rows: str) -> str:
     return f"""
       cells as ({cells}),
       n_rows_of as ({n_rows}),
-      sums as (select {key}ordinal, name, count(v) as n_values, sum(v) as total from cells group by all),
+      sums as (select {key}ordinal, name, count(v) as n_values, {rounded('sum(v)', 2)} as total
+               from cells group by all),
       d as (select distinct {key}ordinal, v from cells where v is not null),
       ranked as (select *, row_number() over (partition by {key}ordinal order by v) as lo,
                         row_number() over (partition by {key}ordinal order by v desc) as hi from d),
@@ -48,7 +49,7 @@ def profile(cells: str, keys: str, n_rows: str) -> str:
       joined as (select * from sums left join ext using ({key}ordinal) {join_rows}),
       profiled as (
         select {key}ordinal, name, n_values, n_rows, min_1, min_2, min_3, max_1, max_2, max_3,
-               {rounded('total', 2)} as total,
+               total,
                {places} as precision,
                {rounded('total / n_values', 6)} as avg_exact,
                {rounded('total / n_values', places)} as avg,
