@@ -1,2 +1,221 @@
-"""Whole jobs."""
-ENTRIES = []
+"""Whole jobs over the documents, the rendered tables and the pages as one lake."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lakeprofile.catalog import Entry, sql, table
+from lakeprofile.catalog.files import document_files, page_files
+from lakeprofile.catalog.models import vectors
+from lakeprofile.catalog.tables import (
+    CLASSIFY_DOCUMENTS_SQL,
+    NAMES,
+    TABLE_PROFILE_SQL,
+    rendered_items,
+    rendered_orders,
+)
+from lakeprofile.functions import scalar as S
+from lakeprofile.operators.discover import find_tables, table_columns
+from lakeprofile.operators.features import column_features
+from lakeprofile.operators.scores import macro_scores
+from lakeprofile.plans import train
+from lakeprofile.plans.extract import classify_files, extract
+from lakeprofile.plans.refine import refine
+from lakeprofile.plans.sentinels import infer_sentinels
+from lakeprofile.plans.topics import infer_topics, train_topics
+from lakeprofile.session import ensure_checkpoint_dir
+from lakeprofile.sources.metadata import records_to_json, training_columns
+
+TOPICS, WORDS, ITERATIONS = 8, 5000, 5
+
+
+def order_files(spark, sf) -> DataFrame:
+    path = F.concat(F.lit("lake/orders/"), F.col("file_id"), F.lit(".csv"))
+    return rendered_orders(spark, sf).select(path.alias("path"), F.col("text").cast("binary").alias("content"))
+
+
+def lake(spark, sf) -> DataFrame:
+    """(path, content) of documents, rendered orders and pages."""
+    parts = [document_files(spark, sf), order_files(spark, sf), page_files(spark, sf)]
+    files = [p.select("path", "content") for p in parts]
+    return files[0].unionByName(files[1]).unionByName(files[2])
+
+
+def _model(spark, sf):
+    return train_topics(table(spark, sf, "documents"), TOPICS, WORDS, iterations=ITERATIONS)
+
+
+def _classify(spark, sf):
+    files = document_files(spark, sf).select("path", "content").unionByName(order_files(spark, sf))
+    return classify_files(files).select(
+        "path", "route", "delimiter", F.array_join("extractors", "|").alias("extractors")
+    )
+
+
+CLASSIFY_SQL = f"""
+with verdicts as ({CLASSIFY_DOCUMENTS_SQL}),
+d as (select concat('lake/', source, '/', lang, '/', doc_id, '.txt') as path, delimiter,
+             length(regexp_replace(substring(text, 1, 1000), '[^0-9]', '', 'g')) / length(substring(text, 1, 1000)) < 0.2
+               and len(regexp_extract_all(regexp_replace(text, '<[^\\r\\n]+>', '', 'g'), '[a-zA-Z]{{3,}}')) > 0 as prose
+      from documents join verdicts using (doc_id)),
+files as (select distinct floor(o_orderkey / 100)::bigint as file_id from orders)
+select path, 'text' as route, delimiter,
+       case when delimiter is not null then 'columnar' when prose then 'lda' else '' end as extractors from d
+union all
+select concat('lake/orders/', file_id, '.csv'), 'text',
+       case file_id % 3 when 0 then ',' when 1 then chr(9) else ' ' end, 'columnar' from files"""
+
+
+def _training_columns(spark, sf):
+    files = rendered_orders(spark, sf).withColumn("path", F.concat(F.lit("lake/orders/"), "file_id", F.lit(".csv")))
+    rows = training_columns(table_columns(find_tables(files), "path"))
+    features = [S.round_half_away(F.col(f), F.lit(6)).alias(f) for f in S.FEATURE_NAMES]
+    return rows.select("path", "file", "column", *features, F.col("null").cast("double").alias("null"))
+
+
+TRAINING_COLUMNS_SQL = f"""
+with p as ({TABLE_PROFILE_SQL})
+select 'lake/orders/' as path, concat(file_id, '.csv') as file, name as column,
+       min_1, {sql.rounded('min_2 - min_1', 6)} as min_diff_1, min_2, {sql.rounded('min_3 - min_2', 6)} as min_diff_2, min_3,
+       max_1, {sql.rounded('max_1 - max_2', 6)} as max_diff_1, max_2, {sql.rounded('max_2 - max_3', 6)} as max_diff_2, max_3,
+       cast(null as double) as "null"
+from p"""
+
+
+def _extract(spark, sf):
+    """The records of the lake, with topics, as they are written."""
+    return records_to_json(extract(lake(spark, sf), _model(spark, sf)))
+
+
+def _extract_facts(spark, sf):
+    """The records of the rendered tables without topics."""
+    records = extract(order_files(spark, sf))
+    return records.select(
+        "path", "size", "checksum", "delimiter", "n_rows",
+        F.array_join("extractors", "|").alias("extractors"),
+        F.array_join(F.transform("columns", lambda c: c["name"]), "|").alias("names"),
+        F.size("headers").cast("long").alias("n_headers"),
+    )
+
+
+def _rendered_sql() -> str:
+    """The rendered text itself, stated in SQL."""
+    def line(fields, d="delimiter"):
+        return f" || {d} || ".join(fields)
+
+    fields = (
+        "o_orderkey::varchar", "o_custkey::varchar", "o_orderstatus", "o_totalprice::decimal(18,2)::varchar",
+        "replace(o_orderpriority, ' ', '_')", "strftime(o_orderdate, '%Y-%m-%d')",
+    )
+    names = line([f"'{n}'" for n in NAMES])
+    units = line([f"'{u}'" for u in ("key", "key", "code", "USD", "class", "day")])
+    return f"""
+rows_ as (select *, floor(o_orderkey / 100)::bigint as file_id from orders),
+keyed as (select *, case file_id % 3 when 0 then ',' when 1 then chr(9) else ' ' end as delimiter from rows_),
+bodies as (select file_id, delimiter, count(*) - 2 as n_rows,
+                  string_agg({line(fields)}, chr(10) order by o_orderkey) as body from keyed group by all),
+texts as (select file_id, delimiter, n_rows,
+                 concat_ws(chr(10), d.text, 'Report of orders', {names}, {units}, body, '', '', 'end of report',
+                           'checked by hand', 'printed on paper') as text
+          from bodies left join documents d on d.doc_id = file_id)"""
+
+
+EXTRACT_FACTS_SQL = f"""
+with {_rendered_sql()}
+select concat('lake/orders/', file_id, '.csv') as path, strlen(text) as size, sha256(text) as checksum, delimiter,
+       n_rows, 'columnar' as extractors, 'orderkey|custkey|totalprice' as names, 11 as n_headers
+from texts"""
+
+
+def _topics(spark, sf):
+    docs = infer_topics(table(spark, sf, "documents").select("doc_id", "text"), _model(spark, sf))
+    return docs.select("doc_id", F.explode("topics").alias("t")).select("doc_id", "t.topic", "t.weight")
+
+
+def _tags(spark, sf):
+    docs = infer_topics(table(spark, sf, "documents").select("doc_id", "text"), _model(spark, sf))
+    return docs.filter(F.col("tags").isNotNull()).select("doc_id", F.array_join("tags", " ").alias("tags"))
+
+
+def _refine(spark, sf):
+    """Rendered tables have no topics of their own here and take those of the nearest documents or pages."""
+    ensure_checkpoint_dir(spark)
+    model = _model(spark, sf)
+    records = extract(lake(spark, sf), model, lda_preamble=False).checkpoint()
+    refined = refine(records, topic_model=model)
+    return refined.select(
+        "path", "topics_source", F.size("topics").alias("n_topics"), F.array_join("tags", " ").alias("tags")
+    )
+
+
+def named_columns(spark, sf) -> DataFrame:
+    """(id, name, features) of all columns found in the rendered orders and line items."""
+    found = [table_columns(find_tables(f(spark, sf)), "file_id") for f in (rendered_orders, rendered_items)]
+    both = column_features(found[0].unionByName(found[1]))
+    return both.select(F.concat_ws("/", "name", "file_id").alias("id"), "name", "features")
+
+
+def _checkpointed_columns(spark, sf) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return named_columns(spark, sf).checkpoint()
+
+
+def _column_names(spark, sf):
+    rows = _checkpointed_columns(spark, sf)
+    return train.predict_names(rows, train.train_names(rows)).select("id", "name", "predicted_name", "certainty")
+
+
+def _column_name_scores(spark, sf):
+    rows = _checkpointed_columns(spark, sf)
+    return macro_scores(train.name_holdout_predictions(rows, "id"), "name", "predicted_name")
+
+
+def _column_name_search(spark, sf):
+    rows = _checkpointed_columns(spark, sf)
+    search = train.search_names(rows, trees=(5, 10), depths=(5, 7))
+    settings = [
+        ({param.name: int(value) for param, value in setting.items()}, float(accuracy))
+        for setting, accuracy in zip(search.getEstimatorParamMaps(), search.avgMetrics)
+    ]
+    rows = [(s["numTrees"], s["maxDepth"], accuracy) for s, accuracy in settings]
+    return spark.createDataFrame(rows, "num_trees int, max_depth int, accuracy double")
+
+
+def _sentinels(spark, sf):
+    """Sentinels of the columns of the line items; labels follow from what was written into them."""
+    ensure_checkpoint_dir(spark)
+    columns = table_columns(find_tables(rendered_items(spark, sf)), "file_id").checkpoint()
+    marked = F.col("min")[0] == -999
+    training = column_features(columns).select(
+        F.concat_ws("/", "file_id", "ordinal").alias("tid"), "features", F.when(marked, -999).otherwise(0).alias("label")
+    )
+    return infer_sentinels(columns.withColumn("path", F.col("file_id").cast("string")), training)
+
+
+SENTINELS_SQL = """
+with f as (select *, floor(l_orderkey / 50)::bigint as file_id from lineitem),
+t as (select file_id, bool_or(l_linenumber = 7) as marked from f group by all having count(*) >= 7)
+select file_id::varchar as path, ordinal::int as ordinal,
+       case when ordinal = 2 and marked then -999.0::double end as sentinel
+from t, range(4) r(ordinal)"""
+
+
+def _project(spark, sf):
+    return train.project(vectors(spark, sf)).select("id", "label", "pc_1", "pc_2")
+
+
+ENTRIES = [
+    Entry("classify_files", _classify, CLASSIFY_SQL),
+    Entry("training_columns", _training_columns, TRAINING_COLUMNS_SQL),
+    Entry("extract_tables", _extract_facts, EXTRACT_FACTS_SQL),
+    Entry("infer_sentinels", _sentinels, SENTINELS_SQL),
+    Entry("extract_lake", _extract, None),
+    Entry("document_topics", _topics, None),
+    Entry("document_tags", _tags, None),
+    Entry("refine_lake", _refine, None),
+    Entry("column_names", _column_names, None),
+    Entry("column_name_scores", _column_name_scores, None),
+    Entry("column_name_search", _column_name_search, None),
+    Entry("project_vectors", _project, None),
+]

@@ -65,5 +65,5 @@ def infer_topics(docs: DataFrame, model: TopicModel, text: str = "text") -> Data
     known = F.size(F.col("tokens")) > 0
     topics = F.when(known & (F.size(kept) > 0), S.normalise(kept))
     result = weighted.withColumn("topics", topics)
-    result = result.withColumn("tags", F.element_at(model.tag_map(), S.strongest_topic(F.col("topics"))))
+    result = result.withColumn("tags", F.try_element_at(model.tag_map(), S.strongest_topic(F.col("topics"))))
     return result.select(*docs.columns, "topics", "tags")
