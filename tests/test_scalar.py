@@ -1,0 +1,132 @@
+import pytest
+from pyspark.sql import functions as F
+
+from lakeprofile.functions import scalar as S
+
+
+def evaluate(spark, values, expression, type_="string"):
+    df = spark.createDataFrame([(v,) for v in values], f"x {type_}").coalesce(1)
+    return [r[0] for r in df.select(expression(F.col("x"))).collect()]
+
+
+def test_path_parts(spark):
+    paths = ["a/b/c.txt", "c.txt", "a/", "/root.d/x"]
+    assert evaluate(spark, paths, S.directory) == ["a/b/", "", "a/", "/root.d/"]
+    assert evaluate(spark, paths, S.file_name) == ["c.txt", "c.txt", "", "x"]
+
+
+def test_extension_keeps_case(spark):
+    assert evaluate(spark, ["a.CSV", "a.tar.gz", "plain", "dot."], S.extension) == ["CSV", "gz", "no extension", ""]
+
+
+@pytest.mark.parametrize(
+    "content, expected",
+    [
+        (b"", "inode/x-empty"),
+        (b"%PDF-1.4", "application/pdf"),
+        (b"PK\x03\x04rest", "application/zip"),
+        (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "application/vnd.ms-office"),
+        (b"\xff\xd8\xff\xe0", "image/jpeg"),
+        (b"\x89PNG\r\n\x1a\n", "image/png"),
+        (b"CDF\x01\x00\x00", "application/x-netcdf"),
+        (b"\x89HDF\r\n\x1a\n", "application/x-hdf5"),
+        (b"  <?xml version='1.0'?>", "text/xml"),
+        (b"<!DOCTYPE html><p>", "text/html"),
+        (b"<HTML>", "text/html"),
+        (b"plain words", "text/plain"),
+        ("Übergröße".encode("latin-1"), "text/plain"),
+        (b"zero \x00 byte", "application/octet-stream"),
+    ],
+)
+def test_media_type(spark, content, expected):
+    assert evaluate(spark, [bytearray(content)], S.media_type, "binary") == [expected]
+
+
+def test_text_that_is_not_utf8_is_read_byte_by_byte(spark):
+    assert evaluate(spark, [bytearray("é".encode("latin-1")), bytearray("é".encode())], S.decoded_text, "binary") == [
+        "é", "é",
+    ]
+
+
+def test_route(spark):
+    rows = [("nc", "text/plain"), ("NCX", "x"), ("csv", "text/plain"), ("x", "application/xml"), ("pdf", "application/pdf")]
+    df = spark.createDataFrame(rows, "e string, m string").coalesce(1)
+    got = [r[0] for r in df.select(S.route(F.col("e"), F.col("m"))).collect()]
+    assert got == ["array", "array", "text", "text", "other"]
+
+
+NUMERIC = ["1", "-1.5", "+.5", "5.", "1e5", "1E-3", "nan", "INF", "-infinity"]
+NOT_NUMERIC = ["", "-", "1d", "1f", "0x1p3", "1_0", " 1", "1,5", "e5", ".", "1e", "infinit"]
+
+
+def test_number_grammar(spark):
+    assert evaluate(spark, NUMERIC, S.is_number) == [True] * len(NUMERIC)
+    assert evaluate(spark, NOT_NUMERIC, S.is_number) == [False] * len(NOT_NUMERIC)
+
+
+def test_to_number_is_finite_or_null(spark):
+    fields = ["1e5", ".5", "5.", "nan", "inf", "x", "1e999", "1d", "-0.0"]
+    assert evaluate(spark, fields, S.to_number) == [1e5, 0.5, 5.0, None, None, None, None, None, 0.0]
+
+
+def test_strip_removes_all_white_space(spark):
+    assert evaluate(spark, ["\t a b \r\n", "\x0b\x0c"], S.strip) == ["a b", ""]
+
+
+def test_split_fields(spark):
+    line = [" a, b ,,c", "a\t\tb\t", "  a   b\tc "]
+    assert evaluate(spark, line[:1], lambda x: S.split_fields_by(x, ",")) == [["a", "b", "", "c"]]
+    assert evaluate(spark, line[1:2], lambda x: S.split_fields_by(x, "\t")) == [["a", "b"]]
+    assert evaluate(spark, line[2:], lambda x: S.split_fields_by(x, " ")) == [["a", "b", "c"]]
+
+
+def test_strip_tags_is_greedy_within_a_line(spark):
+    texts = ["<a>gone</a> kept", "<a>x\ny</a>z", "a < b", "<>"]
+    assert evaluate(spark, texts, S.strip_tags) == [" kept", "x\nyz", "a < b", "<>"]
+
+
+def test_words(spark):
+    assert evaluate(spark, ["Ab abc DEFG1hij é"], S.words) == [["abc", "DEFG", "hij"]]
+
+
+def test_digit_share_of_the_head_and_of_the_whole(spark):
+    text = ["1" * 500 + "a" * 500 + "b" * 1000, "", "ab"]
+    assert evaluate(spark, text, S.digit_share) == [0.5, None, 0.0]
+    assert evaluate(spark, text, lambda x: S.digit_share(x, None)) == [0.25, None, 0.0]
+    assert evaluate(spark, text, S.is_prose) == [False, False, True]
+
+
+def test_rounding_and_precision(spark):
+    df = spark.createDataFrame([(2.5, 0), (-2.5, 0), (1.245, 1), (1e300, 2), (None, 1)], "v double, p int").coalesce(1)
+    assert [r[0] for r in df.select(S.round_half_away(F.col("v"), F.col("p"))).collect()] == [
+        3.0, -3.0, 1.2, 1e300, None,
+    ]
+    arrays = [[1.0, 2.25], [5.0], [0.001, 100.5], []]
+    assert evaluate(spark, arrays, S.max_precision, "array<double>") == [2, 0, 3, None]
+
+
+def test_sentinel_filter(spark):
+    df = spark.createDataFrame(
+        [(-999.0, -999.0), (-998.5, -999.0), (-998.0, -999.0), (0.0, 0.0), (5.0, None)], "v double, s double"
+    ).coalesce(1)
+    got = [r[0] for r in df.select(S.without_sentinel(F.col("v"), F.col("s"))).collect()]
+    assert got == [None, None, -998.0, 0.0, 5.0]
+
+
+def test_features_of_few_values(spark):
+    df = spark.createDataFrame([([1.0, 3.0], [3.0, 1.0]), ([], [])], "a array<double>, b array<double>").coalesce(1)
+    got = [r[0] for r in df.select(S.feature_array(F.col("a"), F.col("b"))).collect()]
+    assert got == [[1.0, 2.0, 3.0, 0.0, 0.0, 3.0, 2.0, 1.0, 0.0, 0.0], [0.0] * 10]
+
+
+def test_fill_missing_keeps_negative_infinity(spark):
+    values = [[None, float("nan"), float("inf"), float("-inf"), 2.0]]
+    assert evaluate(spark, values, S.fill_missing_with_zero, "array<double>") == [[0.0, 0.0, 0.0, float("-inf"), 2.0]]
+
+
+def test_topic_lists(spark):
+    topics = [[(0, 1.0), (3, 3.0)], [(2, 1.0), (1, 1.0)]]
+    type_ = "array<struct<topic:int,weight:double>>"
+    assert evaluate(spark, topics, S.strongest_topic, type_) == [3, 1]
+    scaled = evaluate(spark, topics, S.normalise, type_)
+    assert [[tuple(x) for x in t] for t in scaled] == [[(0, 0.25), (3, 0.75)], [(2, 0.5), (1, 0.5)]]
