@@ -7,6 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeprofile.sources.tables import read_table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,8 +18,12 @@ class Entry(NamedTuple):
     sql: str | None
 
 
+# Tables with long texts, and the key by which few large splits are spread over the cores.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return read_table(spark, f"{folder}/{name}.parquet", TEXT_KEYS.get(name))
 
 
 def entries() -> list[Entry]:

@@ -16,6 +16,7 @@ from lakeprofile.catalog.tables import (
     rendered_orders,
 )
 from lakeprofile.functions import scalar as S
+from lakeprofile.functions.rows import explode_computed
 from lakeprofile.operators.discover import find_tables, table_columns
 from lakeprofile.operators.features import column_features
 from lakeprofile.operators.scores import macro_scores
@@ -130,7 +131,7 @@ from texts"""
 
 def _topics(spark, sf):
     docs = infer_topics(table(spark, sf, "documents").select("doc_id", "text"), _model(spark, sf))
-    return docs.select("doc_id", F.explode("topics").alias("t")).select("doc_id", "t.topic", "t.weight")
+    return explode_computed(docs, "topics", "t", "doc_id").select("doc_id", "t.topic", "t.weight")
 
 
 def _tags(spark, sf):

@@ -85,7 +85,7 @@ def words(text: Column) -> Column:
 def digit_share(text: Column, sample_chars: int | None = P.DIGIT_SAMPLE_CHARS) -> Column:
     """Share of digits in the head sample of a text (whole text with ``sample_chars=None``); NULL if empty."""
     sample = text if sample_chars is None else F.substring(text, 1, sample_chars)
-    digits = F.length(F.regexp_replace(sample, "[^0-9]", ""))
+    digits = F.length(sample) - F.length(F.regexp_replace(sample, "[0-9]+", ""))
     return digits / F.nullif(F.length(sample), F.lit(0))
 
 

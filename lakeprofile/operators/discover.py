@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lakeprofile.functions import patterns as P
 from lakeprofile.functions import scalar as S
+from lakeprofile.functions.rows import explode_computed
 from lakeprofile.operators.profile import EXTREMES, averages
 
 PROBE_DEPTH = P.FOOTER_LINES + P.MIN_VALUE_ROWS
@@ -225,9 +226,9 @@ def find_tables(
 
 def table_columns(found: DataFrame, *keys: str) -> DataFrame:
     """One row per profiled column of the found tables."""
-    return found.select(*keys, F.explode("found.columns").alias("_c")).select(*keys, "_c.*")
+    return explode_computed(found, "found.columns", "_c", *keys).select(*keys, "_c.*")
 
 
 def table_headers(found: DataFrame, *keys: str) -> DataFrame:
     """One row per distinct header of the found tables."""
-    return found.select(*keys, F.explode("found.headers").alias("header"))
+    return explode_computed(found, "found.headers", "header", *keys)

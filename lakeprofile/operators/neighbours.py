@@ -8,10 +8,12 @@ block, and pairs of rows never leave it.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +21,9 @@ from pyspark.sql import types as T
 
 from lakeprofile.functions import patterns as P
 
+# The functions below run in Python workers, where this package need not be installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BROADCAST_VALUES = 4_000_000  # numbers in a training table small enough to hand to every task
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024

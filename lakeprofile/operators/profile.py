@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeprofile.functions import scalar as S
+from lakeprofile.session import ensure_checkpoint_dir
 
 EXTREMES = 3
 
@@ -121,8 +122,10 @@ def profile_cells(cells: DataFrame, keys: Sequence[str], value: str = "value") -
 
     Each task first reduces its Arrow batches to the three smallest and largest distinct values per key plus a
     partial sum, so a key holding most of the cells costs a few rows per batch. Deduplication then spreads by
-    key and value, and the ranking applies its limit before its own shuffle.
+    key and value, and the ranking applies its limit before its own shuffle. The deduplicated candidates are
+    checkpointed: totals and both rankings start from them, and the cells are computed once.
     """
+    ensure_checkpoint_dir(cells.sparkSession)
     keys = list(keys)
     narrow = cells.select(*keys, F.col(value).cast("double").alias("value"))
 
@@ -148,8 +151,10 @@ def profile_cells(cells: DataFrame, keys: Sequence[str], value: str = "value") -
     reduced = narrow.mapInPandas(reduce_batches, schema).withColumn(
         "value", F.when(~F.isnan("value"), F.col("value"))
     )
-    candidates = reduced.groupBy(*keys, "value").agg(
-        F.sum("total").alias("total"), F.sum("n_values").alias("n_values")
+    candidates = (
+        reduced.groupBy(*keys, "value")
+        .agg(F.sum("total").alias("total"), F.sum("n_values").alias("n_values"))
+        .checkpoint()
     )
     totals = candidates.groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("n_values").alias("n_values"))
 

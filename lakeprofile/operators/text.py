@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeprofile.functions import scalar as S
+from lakeprofile.functions.rows import explode_computed
 
 BROADCAST_ROWS = 1_000_000
 
@@ -18,7 +19,7 @@ def tokenize(docs: DataFrame, text: str = "text", into: str = "tokens") -> DataF
 
 def bag_of_words(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, term, n): occurrences of each word of each document."""
-    tokens = tokenize(docs, text).select(key, F.explode("tokens").alias("term"))
+    tokens = explode_computed(tokenize(docs, text), "tokens", "term", key)
     return tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 

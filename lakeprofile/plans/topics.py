@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -47,7 +48,12 @@ def train_topics(
     tokens = tokenize(docs, text).select("tokens").filter(F.size("tokens") > 0)
     vectorizer = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=vocabulary).fit(tokens)
     lda = LDA(k=k, seed=seed, maxIter=iterations, optimizer="online", featuresCol="counts")
-    return TopicModel(vectorizer, lda.fit(vectorizer.transform(tokens)))
+    # Every iteration passes over the counts; on disk they are read again instead of cut from the text again.
+    counts = vectorizer.transform(tokens).select("counts").persist(StorageLevel.DISK_ONLY)
+    try:
+        return TopicModel(vectorizer, lda.fit(counts))
+    finally:
+        counts.unpersist()
 
 
 def infer_topics(docs: DataFrame, model: TopicModel, text: str = "text") -> DataFrame:
