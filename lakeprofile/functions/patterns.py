@@ -4,7 +4,7 @@ Fixed values: they decide which text counts as a number, a line, a tag or a word
 """
 
 EOL = r"\r\n|\r|\n"
-STRIP = r"^\s+|\s+$"
+WHITE_SPACE = " \t\n\x0b\f\r"
 NUMBER = (
     r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
     r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])$"

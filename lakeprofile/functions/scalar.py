@@ -68,8 +68,8 @@ def route(extension_: Column, mime: Column) -> Column:
 # ---- text --------------------------------------------------------------------------------------------
 
 def strip(text: Column) -> Column:
-    """Remove white space of every kind at both ends (``trim`` only removes spaces)."""
-    return F.regexp_replace(text, P.STRIP, "")
+    """Remove white space of every kind at both ends (plain ``trim`` only removes spaces)."""
+    return F.trim(text, F.lit(P.WHITE_SPACE))
 
 
 def strip_tags(text: Column) -> Column:

@@ -41,7 +41,7 @@ def _distances(queries: np.ndarray, train: np.ndarray, metric: str) -> np.ndarra
 
 def _best(queries: pd.DataFrame, train: pd.DataFrame, k: int, metric: str, mode: str) -> pd.DataFrame:
     """The ``k`` nearest training rows of each query of one batch in (distance, id) order."""
-    columns = ["qid", "split", "tid", "label", "dist"]
+    columns = ["qid", "split", "tid", "label", "dist", "rank"]
     if queries.empty or train.empty:
         return pd.DataFrame(columns=columns)
     points = np.stack(train["features"].to_numpy()).astype(float)
@@ -63,7 +63,8 @@ def _best(queries: pd.DataFrame, train: pd.DataFrame, k: int, metric: str, mode:
         row, column = np.nonzero(within & np.isfinite(dist))
         found = pd.DataFrame({"row": row, "tid": tids[column], "label": labels[column], "dist": dist[row, column]})
         found = found.sort_values(["row", "dist", "tid"])
-        found = found[found.groupby("row").cumcount() < k]
+        found["rank"] = found.groupby("row").cumcount() + 1
+        found = found[found["rank"] <= k]
         found["qid"] = batch["qid"].to_numpy()[found["row"]]
         found["split"] = batch["split"].to_numpy()[found["row"]]
         parts.append(found[columns])
@@ -186,6 +187,7 @@ def nearest(
             train.schema["tid"],
             train.schema["label"],
             T.StructField("dist", T.DoubleType()),
+            T.StructField("rank", T.IntegerType()),
         ]
     )
     n_values = train.agg(F.sum(F.size("features"))).first()[0] or 0
@@ -196,21 +198,20 @@ def nearest(
             for batch in batches:
                 yield _best(batch, table, k, metric, mode)
 
-        candidates = queries.mapInPandas(scan, schema)
-        # All neighbours of a query were found together; ranking only numbers them.
-    elif mode == "splits":
+        # All neighbours of a query are found together, in order.
+        return queries.mapInPandas(scan, schema)
+    if mode == "splits":
         raise ValueError("hold-outs need a training table below the broadcast bound")
-    else:
-        visits, placed = _in_blocks(queries, train, k, metric)
-        chunks = query_chunks or max(1, -(-queries.count() // (QUERY_ROWS * 16)))
-        visits = visits.withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int"))
-        placed = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    visits, placed = _in_blocks(queries, train, k, metric)
+    chunks = query_chunks or max(1, -(-queries.count() // (QUERY_ROWS * 16)))
+    visits = visits.withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int"))
+    placed = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
-        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            return _best(left, right, k, metric, mode)
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _best(left, right, k, metric, mode)
 
-        group = ["cell", "block", "chunk"]
-        candidates = visits.groupBy(*group).cogroup(placed.groupBy(*group)).applyInPandas(meet, schema)
+    group = ["cell", "block", "chunk"]
+    candidates = visits.groupBy(*group).cogroup(placed.groupBy(*group)).applyInPandas(meet, schema)
     order = W.partitionBy("qid", "split").orderBy("dist", "tid")
     return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 from lakeprofile.plans.extract import classify_files, extract
 from lakeprofile.plans.large import extract_large
 from lakeprofile.plans.topics import TopicModel
-from lakeprofile.sources.files import INLINE_LIMIT, list_files, pending, read_files, read_lines, write_path_list
+from lakeprofile.sources.files import (
+    INLINE_LIMIT,
+    list_files,
+    path_batches,
+    pending,
+    read_files,
+    read_lines,
+    write_path_list,
+)
 from lakeprofile.sources.metadata import RECORD_SCHEMA, read_records, write_records
 
 KEYS = ["path", "length", "modificationTime"]
+BATCH_FILES = 100_000
 
 
 def records_done(spark: SparkSession, target: str) -> DataFrame:
@@ -36,32 +45,36 @@ def crawl(
     sentinel_training: DataFrame | None = None,
     lda_preamble: bool = True,
     inline_limit: int = INLINE_LIMIT,
+    batch_files: int = BATCH_FILES,
     path_list: str | None = None,
 ) -> None:
     """Write the metadata records of all files below ``root`` as JSON lines to ``target``.
 
     Without ``overwrite`` files already recorded with the same size and time are skipped, so a crawl that
     stopped can simply be started again. Files up to ``inline_limit`` bytes are read whole, larger ones line by
-    line. Errors are part of the records; `write_errors` puts them in a table of their own.
+    line. A first crawl reads the small files in one job; what remains of a crawl, and large files, are read in
+    batches of at most ``batch_files``, each written when it is done. Errors are part of the records;
+    `write_errors` puts them in a table of their own.
     """
-    if path_list is not None:
-        write_path_list(list_files(spark, root), path_list)
-    small = read_files(spark, root, inline_limit)
     listing = list_files(spark, root)
-    large = listing.filter(F.col("length") > inline_limit)
-    mode = "overwrite" if overwrite else "append"
-    if not overwrite:
-        done = records_done(spark, target)
-        # The anti-join runs on the listing; content is read for the remaining paths only.
-        small = pending(small, done, KEYS)
-        large = pending(large, done, KEYS)
-    records = extract(small, topic_model, sentinel_training, lda_preamble)
-    lines = read_lines(spark, root, larger_than=inline_limit)
-    if not large.isEmpty():
-        records = records.unionByName(
-            extract_large(large, lines, topic_model, sentinel_training, lda_preamble).select(*records.columns)
-        )
-    write_records(records, target, mode)
+    if path_list is not None:
+        write_path_list(listing, path_list)
+    done = None if overwrite else records_done(spark, target)
+    first = done is None or done.isEmpty()
+    if first:
+        small = read_files(spark, root, inline_limit)
+        records = extract(small, topic_model, sentinel_training, lda_preamble)
+        write_records(records, target, "overwrite" if overwrite else "append")
+    else:
+        # Only the listing takes part in this join; the batches then open the remaining files by name.
+        listing = pending(listing, done, KEYS)
+        for paths in path_batches(listing.filter(F.col("length") <= inline_limit), batch_files):
+            small = read_files(spark, paths, inline_limit)
+            write_records(extract(small, topic_model, sentinel_training, lda_preamble), target)
+    for paths in path_batches(listing.filter(F.col("length") > inline_limit), batch_files):
+        large = list_files(spark, paths)
+        lines = read_lines(spark, paths, larger_than=inline_limit)
+        write_records(extract_large(large, lines, topic_model, sentinel_training, lda_preamble), target)
 
 
 def write_errors(records: DataFrame, target: str) -> None:
