@@ -101,7 +101,7 @@ def test_crawl_goes_on_where_it_stopped(spark, lake, tmp_path):
     assert records_done(spark, target).count() == 8
     (lake / "late.csv").write_text(table_text(20))
     os.utime(lake / "rivers/data.csv", (1, 1))
-    crawl(spark, str(lake), target)
+    crawl(spark, str(lake), target, batch_files=1)
     names = [r["file"] for r in metadata.read_records(spark, target).select("file").collect()]
     assert sorted(names).count("late.csv") == 1 and names.count("data.csv") == 2 and len(names) == 10
     crawl(spark, str(lake), target, overwrite=True)
@@ -110,12 +110,13 @@ def test_crawl_goes_on_where_it_stopped(spark, lake, tmp_path):
 
 def test_large_files_give_the_same_records(spark, lake, tmp_path, model):
     (lake / "rivers/long.csv").write_text(table_text(300, preamble=PROSE))
+    (lake / "rivers/odd name [1]{a}* 50%41 ü+.csv").write_text(table_text(30))
     crawl(spark, str(lake), str(tmp_path / "whole"), topic_model=model)
-    crawl(spark, str(lake), str(tmp_path / "lines"), topic_model=model, inline_limit=0)
+    crawl(spark, str(lake), str(tmp_path / "lines"), topic_model=model, inline_limit=0, batch_files=5)
     whole, lines = by_name(spark, tmp_path / "whole", lake), by_name(spark, tmp_path / "lines", lake)
     assert sorted(whole) == sorted(lines)
     text = [n for n, r in whole.items() if r["mime_type"].startswith("text") and n != "latin.txt"]
-    assert len(text) == 6
+    assert len(text) == 7
     for name in text:
         a, b = whole[name], lines[name]
         for field in ("mime_type", "size", "extractors", "delimiter", "n_rows", "headers", "columns", "tags"):
