@@ -11,7 +11,7 @@ from lakeprofile.functions import scalar as S
 from lakeprofile.operators import neighbours as K
 from lakeprofile.operators.cleaning import clean_features
 from lakeprofile.operators.sampling import even_sample, holdouts, value_codes
-from lakeprofile.operators.scores import certain_only, certainty_summary, macro_scores
+from lakeprofile.operators.scores import certain_only, certainty_summary, macro_scores, validation_report
 from lakeprofile.plans.train import knn_grid, knn_holdout_predictions
 
 SPLITS = 100
@@ -68,14 +68,15 @@ _PREDICTED = f"""
 select qid, v.label, prediction, {sql.rounded('certainty', 6)} as certainty from predicted join v on v.id = qid"""
 
 _SCORES = """
-classes as (select distinct c from (select {y} as c from {src} union all select {p} from {src})),
-per_class as (select c, coalesce((select count(*) from {src} where {y} = c and {p} = c)
+{x}classes as (select distinct c from (select {y} as c from {src} union all select {p} from {src})),
+{x}per_class as (select c, coalesce((select count(*) from {src} where {y} = c and {p} = c)
                                  / nullif((select count(*) from {src} where {p} = c), 0), 0) as pr,
                         coalesce((select count(*) from {src} where {y} = c and {p} = c)
                                  / nullif((select count(*) from {src} where {y} = c), 0), 0) as re
-              from classes),
-scored as (select (select count(*) from {src} where {y} = {p}) / (select count(*) from {src}) as accuracy,
-                  avg(pr) as precision, avg(re) as recall, (select count(*) from {src}) as n from per_class)"""
+              from {x}classes),
+{x}scored as (select (select count(*) from {src} where {y} = {p}) / (select count(*) from {src}) as accuracy,
+                  avg(pr) as precision, avg(re) as recall, (select count(*) from {src}) as n
+              from {x}per_class)"""
 _SCORED = (
     f"select {sql.rounded('accuracy', 9)} as accuracy, {sql.rounded('precision', 9)} as precision, "
     f"{sql.rounded('recall', 9)} as recall, n from scored"
@@ -108,7 +109,7 @@ near as (select *, row_number() over (partition by split, qid order by dist, tid
 votes as (select split, qid, label, sum(1 / dist) as w from near group by all),
 p as (select split, qid, arg_max(label, (w, -label)) as prediction from votes group by all),
 judged as (select h.label, p.prediction from held h join p on p.split = h.split and p.qid = h.id),
-{_SCORES.format(src='judged', y='label', p='prediction')}
+{_SCORES.format(src='judged', y='label', p='prediction', x='')}
 {_SCORED}"""
 
 
@@ -149,6 +150,22 @@ def _certainty(spark, sf):
     )
 
 
+def _report(spark, sf):
+    report = validation_report(predictions(spark, sf), "label", "prediction", THRESHOLD)
+    return _rounded_scores(report, "scope")
+
+
+_BOTH_SCORES = ", ".join(
+    _SCORES.format(src=src, y="label", p="prediction", x=x) for src, x in (("judged", "all_"), ("certain", "certain_"))
+)
+REPORT_SQL = f"""
+with {_PAIRS}, {_VOTES},
+judged as (select qid, v.label, prediction, certainty from predicted join v on v.id = qid),
+certain as (select * from judged where certainty >= {THRESHOLD}), {_BOTH_SCORES}
+select 'all' as scope, {_SCORED.removeprefix('select ').replace('from scored', 'from all_scored')}
+union all select 'certain', {_SCORED.removeprefix('select ').replace('from scored', 'from certain_scored')}"""
+
+
 def _holdouts(spark, sf):
     return holdouts(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 3)
 
@@ -222,15 +239,16 @@ ENTRIES = [
         "knn_certainty",
         _certainty,
         f"with {_PAIRS}, {_VOTES} select {sql.rounded('min(certainty)', 6)} as certainty_min, "
-        f"{sql.rounded('max(certainty)', 6)} as certainty_max, count_if(certainty >= {THRESHOLD}) as n_within, "
+        f"{sql.rounded('max(certainty)', 6)} as certainty_max, count_if(certainty >= {THRESHOLD})::bigint as n_within, "
         "count(*) as n from predicted",
     ),
+    Entry("knn_validation_report", _report, REPORT_SQL),
     Entry("knn_holdout_scores", _holdout_scores, HOLDOUT_SCORES_SQL),
     Entry("knn_parameter_grid", _grid, GRID_SQL),
     Entry(
         "label_scores",
         _label_scores,
-        f"with {_SCORES.format(src='labels', y='quality', p='toxic')} {_SCORED}",
+        f"with {_SCORES.format(src='labels', y='quality', p='toxic', x='')} {_SCORED}",
     ),
     Entry("holdout_rows", _holdouts, HOLDOUTS_SQL),
     Entry("even_sample", _even_sample, EVEN_SAMPLE_SQL),

@@ -125,7 +125,7 @@ texts as (select file_id, delimiter, n_rows,
 EXTRACT_FACTS_SQL = f"""
 with {_rendered_sql()}
 select concat('lake/orders/', file_id, '.csv') as path, strlen(text) as size, sha256(text) as checksum, delimiter,
-       n_rows, 'columnar' as extractors, 'orderkey|custkey|totalprice' as names, 11 as n_headers
+       n_rows, 'columnar' as extractors, 'orderkey|custkey|totalprice' as names, 11::bigint as n_headers
 from texts"""
 
 

@@ -76,7 +76,7 @@ def _discover(spark, sf):
     return found.select(
         "file_id",
         "found.delimiter",
-        F.col("found.width").cast("long").alias("width"),
+        F.col("found.width").alias("width"),
         "found.n_rows",
         F.array_join("found.types", "|").alias("types"),
         F.array_join("found.names", "|").alias("names"),
@@ -120,7 +120,7 @@ def _discover_lines(spark, sf):
     return found.select(
         F.col("path").alias("file_id"),
         "delimiter",
-        F.col("width").cast("long").alias("width"),
+        "width",
         "n_rows",
         F.array_join("names", "|").alias("names"),
         F.sha2(F.col("preamble").cast("binary"), 256).alias("preamble"),

@@ -107,7 +107,7 @@ with c as (select r_name, n_name, c_mktsegment as topic, c_acctbal < 0 as own,
            from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
 places as (select distinct r_name, n_name from c),
 hits as (select p.r_name, p.n_name, l.topic, case when l.n_name = p.n_name then 2 when l.r_name = p.r_name then 4
-                                                  else 6 end as distance, count(*) as n
+                                                  else 6 end::bigint as distance, count(*) as n
          from places p, c l where l.own group by all),
 best as (select r_name, n_name, min(distance) as distance from hits group by all),
 mixed as (select r_name, n_name, topic, distance, n / sum(n) over (partition by r_name, n_name) as w

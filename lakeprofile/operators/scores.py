@@ -47,6 +47,16 @@ def certain_only(predictions: DataFrame, threshold: float, certainty: str = "cer
     return predictions.filter(F.col(certainty) >= threshold)
 
 
+def validation_report(
+    predictions: DataFrame, label: str, prediction: str, threshold: float, certainty: str = "certainty"
+) -> DataFrame:
+    """Scores of all predictions and of those within the threshold, as rows with scope ``all`` and ``certain``."""
+    scopes = F.array_compact(
+        F.array(F.lit("all"), F.when(F.col(certainty) >= threshold, F.lit("certain")))
+    )
+    return macro_scores(predictions.withColumn("scope", F.explode(scopes)), label, prediction, ["scope"])
+
+
 def certainty_summary(predictions: DataFrame, threshold: float, certainty: str = "certainty") -> DataFrame:
     """(certainty_min, certainty_max, n_within, n): how many predictions reach the threshold."""
     return predictions.agg(

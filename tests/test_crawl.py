@@ -204,6 +204,12 @@ def test_training_csv_round_trip(spark, tmp_path):
     assert rows.count() == 6
     cleaned = {r["id"]: r["features"] for r in clean_features(rows, "fields").collect()}
     assert cleaned["lake/|t0.csv|depth"] == [0.0, 1.0, 1.0, 1.0, 2.0, 29.0, 1.0, 28.0, 1.0, 27.0]
+    names = train.name_training(spark, str(tmp_path / "csv"))
+    assert {r["name"] for r in names.collect()} == {"depth", "temp"}
+    sentinels = train.sentinel_training(spark, str(tmp_path / "csv"))
+    assert [r["label"] for r in sentinels.collect()] == [0.0] * 6
+    train.save_knn(sentinels, str(tmp_path / "knn"))
+    assert train.load_knn(spark, str(tmp_path / "knn")).count() == 6
     header = (next((tmp_path / "csv").glob("*.csv"))).read_text().splitlines()[0].split(",")
     assert len(header) == len(set(header)) == 15
 
