@@ -45,7 +45,8 @@ def train_topics(
     docs: DataFrame, k: int = 10, vocabulary: int = 20_000, seed: int = 7, iterations: int = 20, text: str = "text"
 ) -> TopicModel:
     """Fit a dictionary of bounded size and an online LDA model on the words of all documents."""
-    tokens = tokenize(docs, text).select("tokens").filter(F.size("tokens") > 0)
+    # Documents without words stay: a filter on the words would cut every text twice, and both models skip them.
+    tokens = tokenize(docs, text).select("tokens")
     vectorizer = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=vocabulary).fit(tokens)
     lda = LDA(k=k, seed=seed, maxIter=iterations, optimizer="online", featuresCol="counts")
     # Every iteration passes over the counts; on disk they are read again instead of cut from the text again.
