@@ -118,8 +118,21 @@ def _in_blocks(queries: DataFrame, train: DataFrame, k: int, metric: str) -> tup
         F.min("_dist").alias("low"),
         F.max("_dist").alias("high"),
     )
+    # Rows that a query must skip cannot count as its neighbours: itself, or those held out in its split.
+    if "held_out" in train.columns:
+        held = (
+            placed.select("cell", F.explode("held_out").alias("_split"))
+            .groupBy("cell", "_split")
+            .agg(F.count(F.lit(1)).alias("_held"))
+            .groupBy("cell")
+            .agg(F.max("_held").alias("_skipped"))
+        )
+        sizes = sizes.join(held, "cell", "left")
+    else:
+        sizes = sizes.withColumn("_skipped", F.lit(1))
     cells = [
-        (r["cell"], -(-r["_n"] // BLOCK_ROWS), r["low"], r["high"], r["_n"]) for r in sizes.collect()
+        (r["cell"], -(-r["_n"] // BLOCK_ROWS), r["low"], r["high"], r["_n"] - (r["_skipped"] or 0))
+        for r in sizes.collect()
     ]  # at most one row per pivot
     cell_list = F.array(
         *[
@@ -135,11 +148,10 @@ def _in_blocks(queries: DataFrame, train: DataFrame, k: int, metric: str) -> tup
         "block", F.pmod(F.xxhash64("tid"), F.element_at(blocks_of, F.col("cell"))).cast("int")
     ).drop("_dist")
 
-    # All rows of a cell lie within the pivot distance plus the radius of the cell; one may be the query itself.
-    spare = k + 1
+    # All rows of a cell lie within the pivot distance plus the radius of the cell.
     reaches = F.transform(
         cell_list,
-        lambda c: F.when(c["n"] > spare, F.get(F.col("_to"), c["cell"]) + c["high"]).otherwise(F.lit(float("inf"))),
+        lambda c: F.when(c["n"] >= k, F.get(F.col("_to"), c["cell"]) + c["high"]).otherwise(F.lit(float("inf"))),
     )
     slack = 1 + 1e-9
     wanted = F.filter(
@@ -200,8 +212,6 @@ def nearest(
 
         # All neighbours of a query are found together, in order.
         return queries.mapInPandas(scan, schema)
-    if mode == "splits":
-        raise ValueError("hold-outs need a training table below the broadcast bound")
     visits, placed = _in_blocks(queries, train, k, metric)
     chunks = query_chunks or max(1, -(-queries.count() // (QUERY_ROWS * 16)))
     visits = visits.withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int"))

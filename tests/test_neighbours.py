@@ -42,6 +42,27 @@ def test_nearest_is_exact(spark, monkeypatch, metric, bound, mode):
     assert {i: sorted(v) for i, v in got.items()} == brute_force(queries, train, 9, metric, mode == "others")
 
 
+@pytest.mark.parametrize("bound", [K.BROADCAST_VALUES, 0])
+def test_held_out_rows_are_skipped(spark, monkeypatch, bound):
+    monkeypatch.setattr(K, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(K, "PIVOTS", 6)
+    rows = points(90, 45, 2)
+    held = {s: {i for i, _, _ in rows if i % 4 == s} for s in range(3)}
+    queries = [(i, s, v) for i, v, _ in rows for s in range(3) if i in held[s]]
+    train = [(i, v, label, [s for s in range(3) if i in held[s]]) for i, v, label in rows]
+    q = spark.createDataFrame(queries, "qid long, split int, features array<double>")
+    t = spark.createDataFrame(train, "tid long, features array<double>, label int, held_out array<int>")
+    got = {}
+    for r in K.nearest(q, t, 9, mode="splits", broadcast_values=bound, query_chunks=2).collect():
+        got.setdefault((r["split"], r["qid"]), []).append((round(r["dist"], 9), r["tid"], r["label"]))
+    expected = {}
+    for s in range(3):
+        rest = [row for row in rows if row[0] not in held[s]]
+        mine = [(i, v) for i, v, _ in rows if i in held[s]]
+        expected |= {(s, i): n for i, n in brute_force(mine, rest, 9, "euclidean", False).items()}
+    assert {key: sorted(v) for key, v in got.items()} == expected
+
+
 def test_fewer_training_rows_than_neighbours(spark):
     q = spark.createDataFrame([(0, [0.0])], "qid long, features array<double>")
     t = spark.createDataFrame([(1, [1.0], "a"), (2, [2.0], "b")], "tid long, features array<double>, label string")
