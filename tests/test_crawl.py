@@ -153,6 +153,14 @@ def test_sentinels_are_inferred_and_left_out(spark, lake):
     assert columns["levels.csv", "depth"]["n_values"] == 60 and columns["data.csv", "temp"]["n_values"] == 40
 
 
+def test_sentinels_of_large_files(spark, lake, tmp_path):
+    training = training_rows(spark)
+    crawl(spark, str(lake), str(tmp_path / "records"), sentinel_training=training, inline_limit=0)
+    got = by_name(spark, tmp_path / "records", lake)
+    temp = [c for c in got["rivers/deep/levels.csv"]["columns"] if c["name"] == "temp"][0]
+    assert temp["min"][0] == 10.0 and temp["n_values"] == 45
+
+
 def test_refinement(spark, lake, tmp_path, model):
     target = str(tmp_path / "records")
     crawl(spark, str(lake), target, topic_model=model)
