@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeprofile.llm import decontamination, language_id, sentencepiece_codec
+from lakeprofile.llm import decontamination, language_id, sentencepiece_codec, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+SHARDS = 40
+
+
+def hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shards_of(table(spark, folder, "documents"), SHARDS)
+
+
 def piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     done = sentencepiece_codec.encode_decode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
@@ -52,6 +59,7 @@ def language_identification(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_sharding": hash_tree_shards,
     "op4_sentencepiece": piece_encoding,
     "op8_decontamination": benchmark_decontamination,
     "op10_language_id": language_identification,
