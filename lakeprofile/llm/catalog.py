@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeprofile.llm import decontamination, language_id, sentencepiece_codec, sharding
+from lakeprofile.llm import decontamination, language_id, secret_scan, sentencepiece_codec, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,18 @@ def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def secret_spans(spark: SparkSession, folder: str) -> DataFrame:
+    done = secret_scan.scan(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    counts = [secret_scan.count(F.col("spans"), k).alias(f"n_{n}") for k, n in enumerate(secret_scan.KINDS[:3])]
+    return done.select(
+        "doc_id",
+        *counts,
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def language_identification(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -62,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op2_sharding": hash_tree_shards,
     "op4_sentencepiece": piece_encoding,
     "op8_decontamination": benchmark_decontamination,
+    "op9_secret_scan": secret_spans,
     "op10_language_id": language_identification,
 }
 
