@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeprofile.llm import decontamination, language_id, secret_scan, sentencepiece_codec, sharding
+from lakeprofile.llm import decontamination, language_id, order_minhash, secret_scan, sentencepiece_codec, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,12 @@ def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def order_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    done = order_minhash.edit_fingerprints(table(spark, folder, "documents"))
+    prints = {c: order_minhash.shown(F.col(c)) for c in ("fingerprint", "edited_fingerprint")}
+    return done.withColumns(prints)
+
+
 def secret_spans(spark: SparkSession, folder: str) -> DataFrame:
     done = secret_scan.scan(table(spark, folder, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
@@ -74,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op2_sharding": hash_tree_shards,
     "op4_sentencepiece": piece_encoding,
     "op8_decontamination": benchmark_decontamination,
+    "op6_order_minhash": order_fingerprints,
     "op9_secret_scan": secret_spans,
     "op10_language_id": language_identification,
 }
