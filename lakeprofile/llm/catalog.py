@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeprofile.llm import decontamination, language_id, order_minhash, secret_scan, sentencepiece_codec, sharding
+from lakeprofile.llm import decontamination, html_extraction, language_id, order_minhash, secret_scan, sentencepiece_codec, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def main_text(spark: SparkSession, folder: str) -> DataFrame:
+    done = html_extraction.extract_pages(table(spark, folder, "pages"))
+    return done.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 SHARDS = 40
 
 
@@ -77,6 +82,7 @@ def language_identification(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html_extraction": main_text,
     "op2_sharding": hash_tree_shards,
     "op4_sentencepiece": piece_encoding,
     "op8_decontamination": benchmark_decontamination,
