@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeprofile.llm import decontamination, html_extraction, language_id, order_minhash, secret_scan, sentencepiece_codec, sharding
+from lakeprofile.llm import decontamination, html_extraction, jaccard_join, language_id, order_minhash, secret_scan, sentencepiece_codec, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,11 @@ def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
+    found, _ = jaccard_join.near_duplicates(table(spark, folder, "documents"), jaccard_join.Rule(words=3, percent=90))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def order_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     done = order_minhash.edit_fingerprints(table(spark, folder, "documents"))
     prints = {c: order_minhash.shown(F.col(c)) for c in ("fingerprint", "edited_fingerprint")}
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op4_sentencepiece": piece_encoding,
     "op8_decontamination": benchmark_decontamination,
     "op6_order_minhash": order_fingerprints,
+    "op7_jaccard_join": jaccard_components,
     "op9_secret_scan": secret_spans,
     "op10_language_id": language_identification,
 }
