@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeprofile.llm import decontamination, html_extraction, jaccard_join, language_id, order_minhash, secret_scan, sentencepiece_codec, sharding
+from lakeprofile.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, order_minhash, secret_scan, sentencepiece_codec, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,17 @@ def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    done = line_dedup.delete_repeated_runs(docs)
+    return done.select(
+        "doc_id",
+        "lines_deleted",
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
     found, _ = jaccard_join.near_duplicates(table(spark, folder, "documents"), jaccard_join.Rule(words=3, percent=90))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -91,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op2_sharding": hash_tree_shards,
     "op4_sentencepiece": piece_encoding,
     "op8_decontamination": benchmark_decontamination,
+    "op5_line_dedup": line_runs,
     "op6_order_minhash": order_fingerprints,
     "op7_jaccard_join": jaccard_components,
     "op9_secret_scan": secret_spans,
