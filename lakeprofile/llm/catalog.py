@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeprofile.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, order_minhash, secret_scan, sentencepiece_codec, sharding
+from lakeprofile.llm import (
+    decontamination,
+    html_extraction,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    order_minhash,
+    secret_scan,
+    sentencepiece_codec,
+    sharding,
+    token_counts,
+)
+from lakeprofile.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +35,18 @@ def main_text(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+SEPARATOR = 50256  # end of document in the byte-level vocabulary; ordinary text never gets it
+# Fixed value: how the byte-level vocabulary cuts words.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def separator_counts(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_folder(spark, "token-blocks")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    token_counts.write_token_blocks(docs, path, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", CUT, SEPARATOR)
+    return token_counts.counts_by_document(spark, path, SEPARATOR).select("doc_id", "n_tokens")
+
+
 SHARDS = 40
 
 
@@ -100,6 +124,7 @@ def language_identification(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": main_text,
     "op2_sharding": hash_tree_shards,
+    "op3_token_counts": separator_counts,
     "op4_sentencepiece": piece_encoding,
     "op8_decontamination": benchmark_decontamination,
     "op5_line_dedup": line_runs,
