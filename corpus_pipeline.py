@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeprofile.llm import decontamination, language_id, sentencepiece_codec
+from lakeprofile.llm import decontamination, jaccard_join, language_id, line_dedup, sentencepiece_codec
 from lakeprofile.llm.catalog import TOKENIZERS
 from lakeprofile.llm.common import stored
 
@@ -13,20 +13,34 @@ LEAST_SCORE = 0.2  # documents further from every learned language are rejected
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those that are near no learned language."""
+    """Rejects documents without letters and, where labels teach any language, those that are near none."""
     profiles = language_id.learn(docs)
+    if not profiles.languages:
+        return docs.where(F.col("text").rlike("\\p{L}"))
     done = language_id.predict(docs, profiles, out_col="__language")
     known = (F.col("__language.lang_pred") != language_id.UNKNOWN) & (F.col("__language.score") >= LEAST_SCORE)
     return done.where(known).select(*docs.columns)
 
 
+def delete_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later copies of repeated line runs; documents that consist of such lines only go."""
+    done = line_dedup.delete_repeated_runs(docs, count_col="__deleted")
+    left = (F.col("__deleted") == 0) | (F.col("text") != "")
+    return done.where(left).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates (five words a shingle, similarity 0.8)."""
+    return jaccard_join.keep_first(docs).select(*docs.columns)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes contaminated documents."""
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, and whether they decode to it again."""
+    """The ids of each text, and whether they decode to it again."""
     done = sentencepiece_codec.encode_decode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
     return done.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip")
@@ -35,6 +49,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language),
+    ("line dedup", delete_lines),
+    ("n-gram Jaccard join", deduplicate),
     ("benchmark decontamination", decontaminate),
     ("SentencePiece encoding", encode),
 ]

@@ -91,7 +91,7 @@ def line_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
-    found, _ = jaccard_join.near_duplicates(table(spark, folder, "documents"), jaccard_join.Rule(words=3, percent=90))
+    found = jaccard_join.near_duplicates(table(spark, folder, "documents"), jaccard_join.Rule(words=3, percent=90))
     return found.select("doc_id", "n_shingles", "component_id")
 
 

@@ -149,11 +149,18 @@ def signatures(docs: DataFrame, rule: Rule, counts) -> DataFrame:
                     first = np.lexsort((tokens, weights))[: rule.prefix(n)] if n else []
                     prefixes.append(tokens[first].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["id", "n", "sid", "prefix"],
+                [
+                    batch["id"],
+                    batch["h"],
+                    pa.array(sizes, pa.int64()),
+                    pa.array(ids, pa.binary()),
+                    pa.array(prefixes, pa.list_(pa.int64())),
+                ],
+                names=["id", "h", "n", "sid", "prefix"],
             )
 
-    return docs.select("id", "text").mapInArrow(sign, "id bigint, n bigint, sid binary, prefix array<bigint>")
+    rows = docs.select("id", "text", F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(sign, "id bigint, h bigint, n bigint, sid binary, prefix array<bigint>")
 
 
 def _bits_of(hashes, bits: int):
@@ -237,7 +244,6 @@ def _all_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
 
 def linked_sets(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     """sid and comp of every set that has a link to another set; comp is the smallest sid of its component."""
-    spark = docs.sparkSession
     sets = signed.where("n > 0").groupBy("sid", "n").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"))
     postings = sets.select("sid", "n", F.size("prefix").alias("length"), F.explode("prefix").alias("token"))
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("token")
@@ -294,32 +300,53 @@ def linked_sets(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
         reach, buckets = reach * 4, buckets * 4
 
 
-def near_duplicates(
-    docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text"
-) -> tuple[DataFrame, DataFrame]:
-    """Documents with doc_id, n_shingles, set_id and component_id, and the sets with links (sid, comp).
+def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, text_hash, n_shingles, set_id, label and component_id.
 
     A document's set holds its distinct shingles of ``rule.words`` words (A-Z lower-cased); a shorter text is one
-    shingle, a null, empty or blank text has none and links with nothing. Two sets link by ``rule.percent``; equal
-    sets always do. ``component_id`` is the smallest id that links reach. Every row gets a row; rows that repeat an id
-    are documents of their own with that id; null ids are passed over when the smallest is taken, unless there is no
-    other. Further columns are left out and an empty table gives no rows.
+    shingle, a null, empty or blank text has none and links with nothing (its label is null). Two sets link by
+    ``rule.percent``; equal sets always do. ``label`` names the component and ``component_id`` is the smallest id that
+    links reach. Rows that repeat an id are documents of their own with that id; null ids are passed over when the
+    smallest is taken, unless there is no other. Further columns are left out; an empty table gives no rows.
 
     Equal sets are one set throughout. No pairs within a group are listed: members are compared with a pivot first and
     with each other only while they are in different components, and no link is lost by that.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    counts = spark.sparkContext.broadcast(word_counts(rows))
+    counts = docs.sparkSession.sparkContext.broadcast(word_counts(rows))
     signed = stored(signatures(rows, rule, counts), "signatures")
     comps = linked_sets(rows, signed, rule)
     classes = signed.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"))
     labelled = classes.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     smallest = labelled.groupBy("comp").agg(F.min("id").alias("component_id"))
-    of_set = stored(labelled.join(smallest, "comp").select("sid", "component_id"), "set-components")
-    empty = signed.where("n = 0").select("id", "n", "sid", F.col("id").alias("component_id"))
-    full = signed.where("n > 0").join(of_set, "sid").select("id", "n", "sid", "component_id")
-    out = full.union(empty).select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), "component_id"
+    of_set = labelled.join(smallest, "comp").select("sid", F.col("comp").alias("label"), "component_id")
+    columns = ["id", "h", "n", "sid", "label", "component_id"]
+    empty = signed.where("n = 0").withColumns({"label": F.lit(None).cast("binary"), "component_id": F.col("id")})
+    full = signed.where("n > 0").join(of_set, "sid")
+    return (
+        full.select(*columns)
+        .union(empty.select(*columns))
+        .toDF("doc_id", "text_hash", "n_shingles", "set_id", "label", "component_id")
     )
-    return out, of_set
+
+
+def keep_first(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest id (null ids last), then text hash.
+
+    Documents without words all stay. Of rows equal in id and text one stays. All columns are kept.
+    """
+    found = stored(near_duplicates(docs, rule, id_col, text_col), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    first = found.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(rank).alias("w")).select("w.doc_id", "w.text_hash")
+    blank = found.where(F.col("label").isNull()).select("doc_id", "text_hash")
+    # A null id is told apart by the second key column.
+    key = [F.coalesce("doc_id", F.lit(0)).alias("__k"), F.col("doc_id").isNull().alias("__n"), F.col("text_hash").alias("__h")]
+    own = F.col(id_col).cast("bigint")
+    keyed = docs.withColumns({"__k": F.coalesce(own, F.lit(0)), "__n": own.isNull(), "__h": F.xxhash64(text_col)})
+    names = ["__k", "__n", "__h"]
+    chosen = stored(first.select(*key), "first-documents")
+    twins = found.where(F.col("label").isNotNull()).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    kept = keyed.join(chosen, names, "left_semi")
+    if not twins.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(names)
+    return kept.unionByName(keyed.join(blank.select(*key).distinct(), names, "left_semi")).drop(*names)
