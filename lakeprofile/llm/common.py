@@ -40,3 +40,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the checkpoint folder of this session."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeprofile.llm.common import chunks
+from lakeprofile.llm.common import chunks, free_names
 
 WINDOW = 13  # words of a window
 SHARE = 20  # a document is contaminated when one word in so many is hit
@@ -217,8 +217,9 @@ def is_contaminated(scan: Column, share: int = SHARE) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without contaminated documents; all others stay as they are."""
-    scanned = scan_documents(docs, benchmark, out_col="__scan", **options)
-    return scanned.where(~is_contaminated(F.col("__scan"))).drop("__scan")
+    (scan,) = free_names(docs, "scan")
+    scanned = scan_documents(docs, benchmark, out_col=scan, **options)
+    return scanned.where(~is_contaminated(F.col(scan))).drop(scan)
 
 
 def cut_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
@@ -239,8 +240,9 @@ def cut_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **op
             out.append("".join([*kept, text[at:]]))
         return pa.array(out, type=pa.string())
 
-    scanned = scan_documents(docs, benchmark, text_col=text_col, out_col="__scan", **options)
-    return scanned.withColumn(text_col, cut(text_col, F.col("__scan.hits"))).drop("__scan")
+    (scan,) = free_names(docs, "scan")
+    scanned = scan_documents(docs, benchmark, text_col=text_col, out_col=scan, **options)
+    return scanned.withColumn(text_col, cut(text_col, F.col(scan)["hits"])).drop(scan)
 
 
 def _ascii_lower(text: str) -> str:

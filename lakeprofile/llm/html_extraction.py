@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeprofile.llm.common import stored
+from lakeprofile.llm.common import free_names, stored
 
 BROADCAST_HOSTS = 50_000  # hosts, largest first, whose paths are broadcast
 PATH_CHARS = 400  # longer paths keep their last steps
@@ -257,17 +257,16 @@ def extract_pages(
     def extract(htmls: pa.Array, paths: pa.Array) -> pa.Array:
         return pa.array([extracted(h.as_py(), p.as_py()) for h, p in zip(htmls, paths)], type=pa.string())
 
-    winners = stored(host_paths(pages, url_col, html_col), "host-paths").select(
-        F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("pages").alias("__pages")
-    )
-    rows = pages.withColumn("__host", host_of(url_col))
+    host, path, large = free_names(pages, "host", "path", "large")
+    winners = stored(host_paths(pages, url_col, html_col), "host-paths")
+    paths = winners.select(F.col("host").alias(host), F.col("path").alias(path))
+    rows = pages.withColumn(host, host_of(url_col))
     if winners.count() <= broadcast_hosts:
-        known = rows.join(F.broadcast(winners.drop("__pages")), "__host", "left")
+        known = rows.join(F.broadcast(paths), host, "left")
     else:
-        large = winners.orderBy(F.desc("__pages"), "__host").limit(broadcast_hosts)
-        large = stored(large, "large-hosts").select("__host", "__path", F.lit(True).alias("__large"))
-        tagged = rows.join(F.broadcast(large), "__host", "left")
-        first = tagged.where(F.col("__large")).drop("__large")
-        rest = tagged.where(F.col("__large").isNull()).drop("__large", "__path")
-        known = first.unionByName(rest.join(winners.drop("__pages"), "__host", "left"))
-    return known.withColumn(out_col, extract(F.col(html_col), F.col("__path"))).drop("__host", "__path")
+        first = winners.orderBy(F.desc("pages"), "host").limit(broadcast_hosts)
+        first = first.select(F.col("host").alias(host), F.col("path").alias(path), F.lit(True).alias(large))
+        tagged = rows.join(F.broadcast(stored(first, "large-hosts")), host, "left")
+        rest = tagged.where(F.col(large).isNull()).drop(path).join(paths, host, "left")
+        known = tagged.where(F.col(large)).unionByName(rest)
+    return known.withColumn(out_col, extract(F.col(html_col), F.col(path))).drop(host, path, large)

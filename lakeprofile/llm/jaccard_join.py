@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeprofile.llm.common import chunks, stored
+from lakeprofile.llm.common import chunks, free_names, stored
 from lakeprofile.llm.components import components
 
 WORDS_PER_SHINGLE = 5
@@ -340,10 +340,11 @@ def keep_first(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
     first = found.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(rank).alias("w")).select("w.doc_id", "w.text_hash")
     blank = found.where(F.col("label").isNull()).select("doc_id", "text_hash")
     # A null id is told apart by the second key column.
-    key = [F.coalesce("doc_id", F.lit(0)).alias("__k"), F.col("doc_id").isNull().alias("__n"), F.col("text_hash").alias("__h")]
+    names = free_names(docs, "key", "null_key", "key_hash")
     own = F.col(id_col).cast("bigint")
-    keyed = docs.withColumns({"__k": F.coalesce(own, F.lit(0)), "__n": own.isNull(), "__h": F.xxhash64(text_col)})
-    names = ["__k", "__n", "__h"]
+    keyed = docs.withColumns(dict(zip(names, (F.coalesce(own, F.lit(0)), own.isNull(), F.xxhash64(text_col)))))
+    found_key = (F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.col("text_hash"))
+    key = [c.alias(n) for c, n in zip(found_key, names)]
     chosen = stored(first.select(*key), "first-documents")
     twins = found.where(F.col("label").isNotNull()).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     kept = keyed.join(chosen, names, "left_semi")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeprofile.llm.common import stored
+from lakeprofile.llm.common import free_names, stored
 from lakeprofile.operators.ranks import global_positions
 
 LEAST_WORDS = 50  # words of a run whose later copies are deleted
@@ -76,13 +76,6 @@ def repeated_lengths(levels: list[DataFrame]) -> DataFrame:
     return found.select("pos", "length")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with the key columns __k and __h of a document: its id and a hash of its text (and of a null id)."""
-    return docs.withColumn("__k", F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))).withColumn(
-        "__h", F.xxhash64(F.col(text_col), F.col(id_col).isNull())
-    )
-
-
 def _words(line: Column) -> Column:
     cut = F.btrim(line, F.lit(" \t\x0b\f\r"))
     return F.when(cut == "", 0).otherwise(F.size(F.split(cut, "[\\x20\\x09-\\x0D]+")))
@@ -95,7 +88,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     the documents, with a gap behind each document.
     """
     lines = docs.where(F.col("text").isNotNull()).select(
-        F.col("__k").alias("doc"), F.col("__h").alias("h"), F.posexplode(F.split("text", "\n")).alias("line", "content")
+        *_KEY, F.posexplode(F.split("text", "\n")).alias("line", "content")
     )
     lines = lines.select(
         *_KEY,
@@ -162,10 +155,12 @@ def delete_repeated_runs(
             out.append(text)
         return pa.array(out, type=pa.string())
 
-    keyed = _keyed(docs, id_col, text_col)
-    gone = stored(later_copies(keyed.select("__k", "__h", F.col(text_col).alias("text")), least_words), "deleted-lines")
-    gone = gone.select(F.col("doc").alias("__k"), F.col("h").alias("__h"), F.col("gone").alias("__gone"))
-    joined = keyed.join(gone, ["__k", "__h"], "left")
-    done = joined.withColumn(text_col, cut(F.col(text_col), F.col("__gone")))
-    number = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("bigint")
-    return done.withColumn(count_col, number).drop("__k", "__h", "__gone")
+    # The key of a document: its id, and a hash of its text and of whether the id is null.
+    doc, h, gone = free_names(docs, "doc", "h", "gone")
+    whole_key = (F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))), F.xxhash64(F.col(text_col), F.col(id_col).isNull()))
+    keyed = docs.withColumns(dict(zip((doc, h), whole_key)))
+    narrow = keyed.select(F.col(doc).alias("doc"), F.col(h).alias("h"), F.col(text_col).alias("text"))
+    deleted = stored(later_copies(narrow, least_words), "deleted-lines").toDF(doc, h, gone)
+    done = keyed.join(deleted, [doc, h], "left").withColumn(text_col, cut(F.col(text_col), F.col(gone)))
+    number = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("bigint")
+    return done.withColumn(count_col, number).drop(doc, h, gone)
