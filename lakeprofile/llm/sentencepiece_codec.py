@@ -82,6 +82,7 @@ class Codec:
         texts = [b""] * size
         for i in range(size):
             texts[i] = bytes([int(pieces[i][1:-1], 16)]) if byte[i] else pieces[i].replace(SPACE, " ").encode() if plain[i] else b""
+        self.leading_blank = np.array([plain[i] and pieces[i].startswith(SPACE) for i in range(size)])
         self.piece_lengths = np.array([len(t) for t in texts], dtype=np.int64)
         self.piece_starts = np.concatenate(([0], np.cumsum(self.piece_lengths)[:-1]))
         self.piece_bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -238,10 +239,9 @@ class Codec:
         sizes = self.piece_lengths[ids]
         data = gathered(self.piece_bytes, self.piece_starts[ids], sizes).tobytes()
         bounds = np.concatenate(([0], np.cumsum(sizes)))[offsets].tolist()
-        out = []
-        for a, b in zip(bounds, bounds[1:]):
-            out.append(data[a + (data[a : min(a + 1, b)] == b" ") : b].decode("utf-8", "each-byte"))
-        return out
+        first = np.minimum(offsets[:-1], max(len(ids) - 1, 0))
+        leads = (self.leading_blank[ids[first]] if len(ids) else np.zeros(len(first), dtype=bool)) & (np.diff(offsets) > 0)
+        return [data[a + x : b].decode("utf-8", "each-byte") for a, b, x in zip(bounds, bounds[1:], leads.tolist())]
 
 
 def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
