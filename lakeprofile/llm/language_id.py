@@ -19,7 +19,7 @@ SAMPLE_PER_LANGUAGE = 4_000  # labelled rows per language that the profiles are
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double"
 
-_BITS = 21  # a code point
+_BITS = 20  # of a letter; the order of an n-gram stands above three of them
 _POINTS = 0x110000
 
 
@@ -43,10 +43,11 @@ def grams(text: str) -> np.ndarray:
     for order in ORDERS:
         if len(letters) < order:
             continue
-        code = np.zeros(len(letters) - order + 1, dtype=np.int64)
+        code = np.full(len(letters) - order + 1, order, dtype=np.int64)
         for i in range(order):
             code = code << _BITS | letters[i : i + len(code)]
         inner = letters[order // 2 : order // 2 + len(code)] > 0 if order != 2 else np.ones(len(code), dtype=bool)
+        code += np.int64(order << (3 * _BITS)) - np.int64(order << (order * _BITS))
         found.append(code[inner])
     return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
 
