@@ -206,7 +206,7 @@ def _clean(spark, sf):
     value = F.col("value").cast("decimal(18,2)").cast("string")
     kind = F.col("event_type")
     fields = F.array(
-        F.when(kind == "error", F.lit("n/a")).otherwise(F.col("user_id").cast("string")),
+        F.when(kind == "error", F.lit("n/a")).otherwise(F.format_string(" %d ", "user_id")),
         F.when(kind == "view", F.lit("inf")).when(kind == "click", F.lit("nan")).otherwise(value),
         F.when(kind != "purchase", value),
     )

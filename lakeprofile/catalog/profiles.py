@@ -75,6 +75,33 @@ def _profile_without_sentinels(spark, sf):
     return flat(profile_columns(marked, sentinels={"l_quantity": -999.0}))
 
 
+TINY = ("o_custkey", "o_totalprice")  # profiled as shares of 10 ** 15
+
+
+def _tiny_values(spark, sf):
+    """Values far below one keep their extremes, decimals and average."""
+    small = table(spark, sf, "orders").select(*[(F.col(c) / 1e15).alias(c) for c in TINY])
+    profile = with_averages(profile_columns(small))
+    return profile.select(
+        "name", "n_values",
+        *[S.item(F.col(side), i).alias(f"{side}_{i + 1}") for side in ("min", "max") for i in range(3)],
+        F.col("precision").cast("long").alias("precision"),
+        S.round_half_away(F.col("avg") * 1e15, F.lit(1)).alias("avg_of_1e15"),
+    )
+
+
+_TINY_PROFILE = sql.profile(
+    " union all ".join(f"select {i} as ordinal, '{c}' as name, {c} / 1e15 as v from orders" for i, c in enumerate(TINY)),
+    "",
+    "select count(*) as n_rows from orders",
+)
+TINY_SQL = f"""
+with {_TINY_PROFILE}
+select name, n_values, min_1, min_2, min_3, max_1, max_2, max_3, precision,
+       {sql.rounded(sql.rounded('mean', 'precision') + ' * 1e15', 1)} as avg_of_1e15
+from profiled join (select ordinal, avg(v) as mean from cells group by all) using (ordinal)"""
+
+
 def _column_features(spark, sf):
     features = feature_columns(profile_columns(table(spark, sf, "lineitem")))
     names = S.FEATURE_NAMES
@@ -95,5 +122,6 @@ ENTRIES = [_profile_entry(name) for name in NUMERIC] + [
         _profile_without_sentinels,
         profile_sql("lineitem", {"l_quantity": "case when l_linenumber = 7 then null else l_quantity end"}),
     ),
+    Entry("tiny_values_profile", _tiny_values, TINY_SQL),
     Entry("column_features", _column_features, COLUMN_FEATURES_SQL),
 ]

@@ -15,7 +15,11 @@ def rounded(x: str, places: str | int) -> str:
 
 
 def decimals(x: str) -> str:
-    return f"length(regexp_extract(cast(cast(cast({x} as varchar) as decimal(38,12)) as varchar), '\\.(\\d*?)0*$', 1))"
+    """Digits behind the point of the number's shortest text, less its exponent."""
+    text = f"cast({x} as varchar)"
+    digits = f"length(regexp_extract({text}, '\\.(\\d*?)0*(?:e.*)?$', 1))"
+    exponent = f"coalesce(try_cast(nullif(regexp_extract({text}, 'e(.*)$', 1), '') as integer), 0)"
+    return f"greatest({digits} - {exponent}, 0)"
 
 
 def strip(x: str) -> str:

@@ -9,8 +9,6 @@ from lakeprofile.catalog import Entry, sql, table
 from lakeprofile.functions import scalar as S
 from lakeprofile.operators import text as X
 
-DICTIONARY = 5000
-
 
 def _words(spark, sf):
     tokens = X.tokenize(table(spark, sf, "documents"))
@@ -34,23 +32,20 @@ def bag(spark, sf) -> DataFrame:
 
 
 _BAG = f"bag as (select doc_id, term, count(*) as n from (select doc_id, unnest({_TOKENS}) as term from documents) group by all)"
-_VOCAB = f"""
+_VOCAB = """
 counts as (select term, count(*) as n_docs, sum(n)::bigint as n from bag group by all),
 vocab as (select term, row_number() over (order by n desc, term) - 1 as term_id, n_docs, n
-          from counts order by n desc, term limit {DICTIONARY})"""
+          from counts)"""
 
 
 def _vocabulary(spark, sf):
-    vocab = X.vocabulary(bag(spark, sf), DICTIONARY)
-    return vocab.withColumn("term_id", F.col("term_id").cast("long"))
+    return X.vocabulary(bag(spark, sf))
 
 
 def encoded(spark, sf) -> DataFrame:
-    """(doc_id, term_id, n) for the words of the dictionary."""
+    """(doc_id, term_id, n) for all words."""
     words = bag(spark, sf)
-    return X.encode(words, X.vocabulary(words, DICTIONARY), DICTIONARY).withColumn(
-        "term_id", F.col("term_id").cast("long")
-    )
+    return X.encode(words, X.vocabulary(words))
 
 
 _ENCODED = "encoded as (select doc_id, term_id, bag.n from bag join vocab using (term))"

@@ -36,7 +36,6 @@ SIGNATURES = (
 FOOTER_LINES = 5
 MIN_VALUE_ROWS = 5
 PREAMBLE_CHARS = 1000
-SENTINEL_ROW_CAP = 100_000
 DIGIT_SAMPLE_CHARS = 1000
 PROSE_DIGIT_SHARE = 0.2
 SENTINEL_EPSILON = 1.0

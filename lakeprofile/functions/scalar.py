@@ -127,9 +127,11 @@ def header_names(fields: Column) -> Column:
 
 
 def decimal_places(value: Column) -> Column:
-    """Number of decimals a value needs, at most twelve; NULL beyond 26 integer digits."""
-    text = value.try_cast("decimal(38,12)").cast("string")
-    return F.length(F.regexp_extract(text, r"\.(\d*?)0*$", 1))
+    """Number of decimals of a value as it is written: the digits behind the point of its text, less its exponent."""
+    text = value.cast("string")
+    digits = F.length(F.regexp_extract(text, r"\.(\d*?)0*(?:E.*)?$", 1))
+    exponent = F.coalesce(F.nullif(F.regexp_extract(text, "E(.*)$", 1), F.lit("")).cast("int"), F.lit(0))
+    return F.greatest(digits - exponent, F.lit(0))
 
 
 def max_precision(values: Column) -> Column:

@@ -73,18 +73,6 @@ def _break_position(rows: Column, body_bottom: Column, width: Column) -> Column:
     return F.coalesce(F.array_max(off), F.lit(0))
 
 
-def _profiled_rows(values: Column, footer: Column, row_cap: int | None) -> tuple[Column, Column]:
-    """The rows to aggregate and their count as the average sees it."""
-    n = F.size(values)
-    if row_cap is None:
-        return F.concat(values, footer), n.cast("long")
-    capped = n >= row_cap
-    rows = F.when(capped, F.slice(values, F.greatest(n - (row_cap - 1), F.lit(1)), F.lit(row_cap))).otherwise(
-        F.concat(values, footer)
-    )
-    return rows, F.least(n, F.lit(row_cap)).cast("long")
-
-
 def _column_numbers(rows: Column, position: Column, sentinels: Column | None) -> Column:
     """Numbers of one column, blanks, text and sentinels left out."""
     values = F.transform(rows, lambda x: S.to_number(F.get(x, position)))
@@ -141,14 +129,12 @@ def find_tables(
     files: DataFrame,
     text: str = "text",
     sentinels: str | None = None,
-    row_cap: int | None = None,
 ) -> DataFrame:
     """Add a struct ``found`` describing the table in each text, NULL where there is none.
 
     Fields: delimiter, width, n_rows, types, names, headers, preamble and ``columns``, the profiles of the
     numeric columns. ``sentinels`` names an array column with one value per ordinal (NULL or 0 for none) whose
-    neighbourhood is left out of the aggregates. ``row_cap`` profiles the bottom value rows only, as the pass
-    that feeds sentinel inference does.
+    neighbourhood is left out of the aggregates.
     """
     hidden = F.col(sentinels) if sentinels is not None else None
 
@@ -159,7 +145,7 @@ def find_tables(
 
         def assembled(p: Column) -> Column:
             heads, values, names, types = p["heads"], p["values"], p["names"], p["types"]
-            cells, counted = _profiled_rows(values, p["footer"], row_cap)
+            cells, counted = F.concat(values, p["footer"]), F.size(values).cast("long")
 
             def columns(cell_rows: Column) -> Column:
                 profiles = F.transform(

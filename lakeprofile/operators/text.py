@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from lakeprofile.functions import scalar as S
 from lakeprofile.functions.rows import explode_computed
-
-BROADCAST_ROWS = 1_000_000
+from lakeprofile.operators.ranks import global_positions
 
 
 def tokenize(docs: DataFrame, text: str = "text", into: str = "tokens") -> DataFrame:
@@ -23,23 +22,20 @@ def bag_of_words(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vocabulary(bag: DataFrame, size: int, min_docs: int = 1) -> DataFrame:
-    """(term, term_id, n_docs, n): the ``size`` most frequent terms, ids by falling count, then by term.
-
-    ``size`` is the bound of the model's dictionary; only that many rows are ever ranked in one place.
-    """
+def vocabulary(bag: DataFrame, min_docs: int = 1) -> DataFrame:
+    """(term, term_id, n_docs, n) of all terms, ids by falling count, then by term; sorted by ranges."""
     counts = bag.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n"))
-    top = counts.filter(F.col("n_docs") >= min_docs).orderBy(F.desc("n"), "term").limit(size)
-    ids = F.row_number().over(W.orderBy(F.desc("n"), "term")) - 1
-    return top.select("term", ids.alias("term_id"), "n_docs", "n")
+    falling = counts.filter(F.col("n_docs") >= min_docs).select((-F.col("n")).alias("_n"), "term", "n_docs")
+    placed = global_positions(falling, ["_n", "term", "n_docs"])
+    return placed.select("term", F.col("position").alias("term_id"), "n_docs", (-F.col("_n")).alias("n"))
 
 
-def encode(bag: DataFrame, vocab: DataFrame, vocab_size: int) -> DataFrame:
-    """Replace terms by their ids; unknown terms drop out. A dictionary of bounded size is broadcast."""
-    lookup = vocab.select("term", "term_id")
-    if vocab_size <= BROADCAST_ROWS:
-        lookup = F.broadcast(lookup)
-    return bag.join(lookup, "term").drop("term")
+def encode(bag: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Replace terms by their ids; terms that the dictionary lacks drop out.
+
+    Neither side is bounded, so the join is left to the optimizer; a frequent term is split as a skewed key.
+    """
+    return bag.join(vocab.select("term", "term_id"), "term").drop("term")
 
 
 def mix_topics(topics: DataFrame, item: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -14,8 +13,10 @@ from pyspark.sql import functions as F
 from lakeprofile.functions import patterns as P
 from lakeprofile.functions import scalar as S
 from lakeprofile.operators.text import tokenize
+from lakeprofile.session import ensure_checkpoint_dir
 
 TAG_WORDS = 10
+LARGEST_DICTIONARY = 2_000_000
 
 
 class TopicModel(NamedTuple):
@@ -42,19 +43,25 @@ class TopicModel(NamedTuple):
 
 
 def train_topics(
-    docs: DataFrame, k: int = 10, vocabulary: int = 20_000, seed: int = 7, iterations: int = 20, text: str = "text"
+    docs: DataFrame, k: int = 10, largest: int = LARGEST_DICTIONARY, seed: int = 7, iterations: int = 20, text: str = "text"
 ) -> TopicModel:
-    """Fit a dictionary of bounded size and an online LDA model on the words of all documents."""
+    """Fit a dictionary and an LDA model on all words of all documents; every iteration uses every document.
+
+    MLlib keeps the dictionary on the driver and a weight per word and topic in each task, so a corpus with more than
+    ``largest`` different words is refused with an error; its words are never cut.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
     # Documents without words stay: a filter on the words would cut every text twice, and both models skip them.
     tokens = tokenize(docs, text).select("tokens")
-    vectorizer = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=vocabulary).fit(tokens)
-    lda = LDA(k=k, seed=seed, maxIter=iterations, optimizer="online", featuresCol="counts")
-    # Every iteration passes over the counts; on disk they are read again instead of cut from the text again.
-    counts = vectorizer.transform(tokens).select("counts").persist(StorageLevel.DISK_ONLY)
-    try:
-        return TopicModel(vectorizer, lda.fit(counts))
-    finally:
-        counts.unpersist()
+    different = tokens.select(F.explode("tokens").alias("term")).distinct().count()
+    if different > largest:
+        raise ValueError(f"{different} different words; a topic model holds {largest} at most")
+    vectorizer = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=max(different, 1)).fit(tokens)
+    lda = LDA(
+        k=k, seed=seed, maxIter=iterations, optimizer="online", subsamplingRate=1.0, featuresCol="counts"
+    )
+    # Every iteration passes over the counts, which are read from the checkpoint instead of cut from the text again.
+    return TopicModel(vectorizer, lda.fit(vectorizer.transform(tokens).select("counts").checkpoint()))
 
 
 def infer_topics(docs: DataFrame, model: TopicModel, text: str = "text") -> DataFrame:

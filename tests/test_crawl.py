@@ -55,7 +55,7 @@ def lake(tmp_path):
 @pytest.fixture(scope="module")
 def model(spark):
     docs = spark.createDataFrame([(PROSE * 5,), (SPACE * 5,)] * 10, "text string")
-    return train_topics(docs, k=2, vocabulary=100, iterations=10)
+    return train_topics(docs, k=2, iterations=10)
 
 
 def by_name(spark, target, root):

@@ -80,13 +80,6 @@ def test_cells_that_are_no_numbers_are_skipped(spark):
     assert second[0]["n_values"] == 8 and second[0]["min"] == [1.0, 2.0, 3.0] and second[0]["max"] == [10.0, 6.0, 5.0]
 
 
-def test_row_cap_takes_the_bottom_rows_without_the_footer(spark):
-    rows = [f"{i},1" for i in range(100)]
-    first = one(spark, "\n".join(rows), row_cap=10)["columns"][0]
-    assert (first["n_rows"], first["n_values"], first["min"][0], first["max"][0]) == (10, 10, 85.0, 94.0)
-    assert one(spark, "\n".join(rows), row_cap=1000)["columns"][0]["n_values"] == 100
-
-
 def test_sentinels_are_left_out(spark):
     rows = [f"{i},{-999 if i % 2 else i}" for i in range(1, 21)]
     df = spark.createDataFrame([(0, "\n".join(rows), [None, -999.0])], "path int, text string, s array<double>")

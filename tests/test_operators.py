@@ -74,10 +74,10 @@ def test_macro_scores_count_classes_of_both_sides(spark):
 
 
 def test_clean_features(spark):
-    rows = [(0, ["1", None]), (1, ["x", "1"]), (2, [None, None]), (3, ["nan", None]), (4, ["inf", "-inf"])]
+    rows = [(0, ["1", None]), (1, ["x", "1"]), (2, [None, None]), (3, ["nan", None]), (4, ["inf", "-inf"]), (5, [" 1 ", "2"])]
     df = spark.createDataFrame(rows, "id int, f array<string>")
     got = {r["id"]: r["features"] for r in clean_features(df, "f").collect()}
-    assert got == {0: [1.0, 0.0], 4: [0.0, float("-inf")]}
+    assert got == {0: [1.0, 0.0], 4: [0.0, float("-inf")], 5: [1.0, 2.0]}
 
 
 def test_text_errors_drop_nothing(spark):
@@ -108,10 +108,9 @@ def test_dimensions(spark):
     assert [tuple(r) for r in dimensions(df).collect()] == [("v", "array", "int", 1, 2, 2)]
 
 
-def test_vocabulary_is_bounded_and_ordered(spark):
+def test_vocabulary_is_whole_and_ordered(spark):
     docs = spark.createDataFrame([(0, "bbb aaa aaa ccc"), (1, "aaa bbb ddd")], "id int, text string")
-    vocab = vocabulary(bag_of_words(docs, "id"), 3)
+    vocab = vocabulary(bag_of_words(docs, "id"))
     assert [(r["term"], r["term_id"], r["n_docs"], r["n"]) for r in vocab.orderBy("term_id").collect()] == [
-        ("aaa", 0, 2, 3), ("bbb", 1, 2, 2), ("ccc", 2, 1, 1),
+        ("aaa", 0, 2, 3), ("bbb", 1, 2, 2), ("ccc", 2, 1, 1), ("ddd", 3, 1, 1),
     ]
-    assert vocab.filter(F.col("term") == "ddd").count() == 0
