@@ -134,9 +134,64 @@ QUERIES: dict[str, Query] = {
     "op10_language_id": language_identification,
 }
 
-_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _draw(name: str, weight: str) -> str:
+    digits = f"('0x' || substr(md5(key || '|' || {name}), 1, {sharding._DIGITS}))::bigint::double"
+    return f"-ln(({digits} + 0.5) / {16**sharding._DIGITS}.0) / {weight}"
+
+
+_REGION = sharding.RACKS_PER_REGION * sharding.SHARDS_PER_RACK
 
 SQL: dict[str, str] = {
+    # The checksum is computed byte by byte from its table, which follows from the polynomial.
+    "op2_sharding": f"""
+with recursive bits(i, k, c) as (
+  select i, 0, i::bigint from range(256) r(i) union all
+  select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8),
+tab as (select list(c order by i) as t from bits where k = 8),
+d as (select row_number() over () as r, doc_id, coalesce(doc_id::varchar, 'null') as key, encode(coalesce(text, '')) as s
+      from documents),
+b as (select *, [('0x' || h)::bigint for h in regexp_extract_all(hex(s), '..')] as bytes from d),
+c as (
+  select r, doc_id, key, octet_length(s) + {sharding.OVERHEAD} as size,
+    xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295)
+      as text_crc32
+  from b, tab),
+regions as (
+  select r, key, arg_min(f, {_draw("'region of shard ' || f", f"{_REGION}.0")}) as region,
+    min({_draw("'region of shard ' || f", f"{_REGION}.0")}) as best
+  from c, range(0, {SHARDS}, {_REGION}) u(f) group by r, key),
+racks as (
+  select r, key, best, arg_min(f, {_draw("'rack of shard ' || f", f"{sharding.SHARDS_PER_RACK}.0")}) as rack
+  from regions, unnest(range(region, region + {_REGION}, {sharding.SHARDS_PER_RACK})) u(f) group by r, key, best),
+leaves as (
+  select r, key, best, arg_min(f, {_draw("'shard ' || f", "1.0")}) as shard
+  from racks, unnest(range(rack, rack + {sharding.SHARDS_PER_RACK})) u(f) group by r, key, best),
+placed as (
+  select c.*, shard::int as shard,
+    (case when {_draw(f"'region of shard {SHARDS}'", "1.0").replace("key", "c.key")} < best then {SHARDS} else shard end)::int
+      as grown_shard
+  from c join leaves using (r))
+select doc_id, size::bigint as size, text_crc32, '{sharding.LAW}' as law, shard,
+  row_number() over (partition by shard order by doc_id nulls first, size, text_crc32, grown_shard) - 1 as slot, grown_shard
+from placed""",
+    "op7_jaccard_join": f"""
+with recursive w as (
+  select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+sh as (
+  select distinct r, array_to_string(w[i : i + 2], ' ') as s
+  from w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as u(i) where len(w) > 0),
+n as (select r, count(*) as n from sh group by r),
+pairs as (select a.r as ra, b.r as rb, count(*) as c from sh a join sh b on a.s = b.s and a.r < b.r group by all),
+links as (
+  select ra, rb from pairs join n x on x.r = ra join n y on y.r = rb where 100 * c >= 90 * (x.n + y.n - c)),
+edges as (select ra, rb from links union all select rb, ra from links),
+reach(r, x) as (select r, r from w union select reach.r, edges.rb from reach join edges on reach.x = edges.ra)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(o.doc_id) as component_id
+from w left join n using (r) join reach using (r) join w o on o.r = reach.x group by w.r, w.doc_id, n.n""",
     "op8_decontamination": f"""
 with dw as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
 bw as (select item_id, {_WORDS} as w from benchmark where item_id is not null),
