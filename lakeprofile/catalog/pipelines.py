@@ -19,7 +19,7 @@ from lakeprofile.functions import scalar as S
 from lakeprofile.functions.rows import explode_computed
 from lakeprofile.operators.discover import find_tables, table_columns
 from lakeprofile.operators.features import column_features
-from lakeprofile.operators.scores import macro_scores
+from lakeprofile.operators.scores import macro_scores, validation_report
 from lakeprofile.plans import train
 from lakeprofile.plans.extract import classify_files, extract
 from lakeprofile.plans.refine import refine
@@ -174,6 +174,12 @@ def _column_name_scores(spark, sf):
     return macro_scores(train.name_holdout_predictions(rows, "id"), "name", "predicted_name")
 
 
+def _column_name_report(spark, sf):
+    """Scores of all hold-out predictions and of those that are nearly certain."""
+    predictions = train.name_holdout_predictions(_checkpointed_columns(spark, sf), "id")
+    return validation_report(predictions, "name", "predicted_name", train.NAME_CERTAINTY)
+
+
 def _column_name_search(spark, sf):
     rows = _checkpointed_columns(spark, sf)
     search = train.search_names(rows, trees=(5, 10), depths=(5, 7))
@@ -210,6 +216,68 @@ def _project(spark, sf):
     return train.project(vectors(spark, sf)).select("id", "label", "pc_1", "pc_2")
 
 
+def _projection_moments(spark, sf):
+    """What any projection on principal components has: means of zero, no correlation, falling spread."""
+    a, b = F.col("pc_1"), F.col("pc_2")
+    moments = train.project(vectors(spark, sf)).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.round(F.abs(F.avg(c)), 6).alias(f"mean_{i}") for i, c in ((1, a), (2, b))],
+        F.round(F.abs(F.corr(a, b)), 6).alias("correlation"),
+        (F.var_pop(a) >= F.var_pop(b)).alias("falling"),
+    )
+    return moments
+
+
+PROJECTION_SQL = """
+select count(*) as n, 0.0::double as mean_1, 0.0::double as mean_2, 0.0::double as correlation, true as falling
+from embeddings"""
+
+
+def _topic_totals(spark, sf):
+    """Which documents have topics; their weights sum to one and none is below one percent."""
+    docs = infer_topics(table(spark, sf, "documents").select("doc_id", "text"), _model(spark, sf))
+    weights = F.transform("topics", lambda t: t["weight"])
+    return docs.select(
+        "doc_id",
+        F.col("topics").isNotNull().alias("has_topics"),
+        F.round(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w), 6).alias("total"),
+        (F.array_min(weights) >= 0.01).alias("above_least"),
+        F.size(F.array_distinct("tags")).cast("long").alias("n_tags"),
+    )
+
+
+TOPIC_TOTALS_SQL = """
+with d as (
+  select doc_id, len(regexp_extract_all(regexp_replace(text, '<[^\r\n]+>', '', 'g'), '[a-zA-Z]{3,}')) > 0 as has_topics
+  from documents)
+select doc_id, has_topics, case when has_topics then 1.0::double end as total, case when has_topics then true end as above_least,
+  case when has_topics then 10 end::bigint as n_tags
+from d"""
+
+SAMPLED_FILES = 7
+
+
+def _training_set(spark, sf):
+    ensure_checkpoint_dir(spark)
+    rows = train.training_set(extract(order_files(spark, sf)).checkpoint(), SAMPLED_FILES)
+    features = [S.round_half_away(F.col(f), F.lit(6)).alias(f) for f in S.FEATURE_NAMES]
+    average = S.round_half_away(F.col("avg"), F.lit(1)).alias("avg")
+    return rows.select("path", "file", "column", *features, average, F.col("null").cast("double").alias("null"))
+
+
+TRAINING_SET_SQL = f"""
+with p as ({TABLE_PROFILE_SQL}),
+files as (select file_id, row_number() over (order by concat('lake/orders/', file_id, '.csv')) - 1 as position,
+                 count(*) over () as n from (select distinct file_id from p)),
+chosen as (select file_id from files
+           where position in (select floor(n / {SAMPLED_FILES}.0 * j)::bigint from (select max(n) as n from files), range({SAMPLED_FILES}) r(j)))
+select 'lake/orders/' as path, concat(file_id, '.csv') as file, name as column,
+       min_1, {sql.rounded('min_2 - min_1', 6)} as min_diff_1, min_2, {sql.rounded('min_3 - min_2', 6)} as min_diff_2, min_3,
+       max_1, {sql.rounded('max_1 - max_2', 6)} as max_diff_1, max_2, {sql.rounded('max_2 - max_3', 6)} as max_diff_2, max_3,
+       {sql.rounded('avg', 1)} as avg, cast(null as double) as "null"
+from p join chosen using (file_id)"""
+
+
 ENTRIES = [
     Entry("classify_files", _classify, CLASSIFY_SQL),
     Entry("training_columns", _training_columns, TRAINING_COLUMNS_SQL),
@@ -222,5 +290,9 @@ ENTRIES = [
     Entry("column_names", _column_names, None),
     Entry("column_name_scores", _column_name_scores, None),
     Entry("column_name_search", _column_name_search, None),
+    Entry("column_name_report", _column_name_report, None),
     Entry("project_vectors", _project, None),
+    Entry("projection_moments", _projection_moments, PROJECTION_SQL),
+    Entry("topic_totals", _topic_totals, TOPIC_TOTALS_SQL),
+    Entry("training_set", _training_set, TRAINING_SET_SQL),
 ]
