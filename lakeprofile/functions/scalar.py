@@ -160,6 +160,7 @@ def item(values: Column, position: int) -> Column:
     return F.get(values, F.lit(position))
 
 
+# The names and the order of the features in training files.
 FEATURE_NAMES = (
     "min_1", "min_diff_1", "min_2", "min_diff_2", "min_3",
     "max_1", "max_diff_1", "max_2", "max_diff_2", "max_3",

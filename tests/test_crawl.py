@@ -125,7 +125,7 @@ def test_large_files_give_the_same_records(spark, lake, tmp_path, model):
             (t["topic"], round(t["weight"], 2)) for t in b["topics"] or []
         ], name
     assert lines["space/image.jpg"]["extractors"] == []
-    assert lines["rivers/long.csv"]["checksum"] is None and "checksum" in lines["rivers/long.csv"]["error"]
+    assert lines["rivers/long.csv"]["checksum"] is None and lines["rivers/long.csv"]["error"] is None
 
 
 def test_classification_only(spark, lake):
