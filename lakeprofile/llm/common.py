@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeprofile.session import ensure_checkpoint_dir
 
@@ -42,6 +43,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def light(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, marked for broadcast if it has at most so many (narrow) rows; the other side then stays where it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

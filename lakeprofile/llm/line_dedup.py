@@ -11,6 +11,7 @@ from lakeprofile.llm.common import free_names, stored
 from lakeprofile.operators.ranks import global_positions
 
 LEAST_WORDS = 50  # words of a run whose later copies are deleted
+BROADCAST_NUMBERS = 4_000_000  # line numbers (and ten more for each document) that a broadcast holds
 _KEY = ["doc", "h"]
 
 
@@ -161,6 +162,10 @@ def delete_repeated_runs(
     keyed = docs.withColumns(dict(zip((doc, h), whole_key)))
     narrow = keyed.select(F.col(doc).alias("doc"), F.col(h).alias("h"), F.col(text_col).alias("text"))
     deleted = stored(later_copies(narrow, least_words), "deleted-lines").toDF(doc, h, gone)
+    # Texts are moved only if the deletions are too many to be sent to them.
+    numbers = deleted.agg(F.sum(F.size(gone) + 10)).first()[0] or 0
+    if numbers <= BROADCAST_NUMBERS:
+        deleted = F.broadcast(deleted)
     done = keyed.join(deleted, [doc, h], "left").withColumn(text_col, cut(F.col(text_col), F.col(gone)))
     number = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("bigint")
     return done.withColumn(count_col, number).drop(doc, h, gone)
