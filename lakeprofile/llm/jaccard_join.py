@@ -13,14 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeprofile.llm.common import chunks, free_names, stored
+from lakeprofile.llm.common import chunks, free_names, light, stored
 from lakeprofile.llm.components import components
 
 WORDS_PER_SHINGLE = 5
 PERCENT = 80
 COUNT_BITS = 20  # word counts are kept in a table of that many bits, whatever the number of words
 FILTER_BITS = 26  # the filter of documents that are read for verification
-WHOLE_LIST = 32  # lists up to this length are compared pair by pair, longer ones by pivots first
+BROADCAST_PAIRS = 200_000  # pairs whose set ids, or documents whose keys, are broadcast
+WHOLE_LIST = 2_048  # lists up to this length are compared pair by pair, longer ones by pivots first
 
 _SPLIT = 1 << 22
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -104,6 +105,12 @@ def _set_id(tokens: np.ndarray) -> bytes:
     return int(one).to_bytes(8, "big") + int(two).to_bytes(8, "big")
 
 
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    """Whether each of 256 classes of shingles has an odd number of members, as four numbers."""
+    odd = np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def word_counts(docs: DataFrame, bits: int = COUNT_BITS) -> np.ndarray:
     """How often words occur, in a table of 2 ** bits counters that words share by a checksum.
 
@@ -131,7 +138,8 @@ def word_counts(docs: DataFrame, bits: int = COUNT_BITS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, rule: Rule, counts) -> DataFrame:
-    """Per document: id, size of its set, set id, and the prefix: the shingles that come first in the common order.
+    """Per document: id, hash of its text, size of its set, set id, the prefix (the shingles that come first in the common
+    order), and the parities of its classes of shingles.
 
     The order is by weight, then by hash. A shingle of high frequency has a high weight, as all its words have, so it
     stands last in every document and hardly ever gets into a prefix.
@@ -140,12 +148,13 @@ def signatures(docs: DataFrame, rule: Rule, counts) -> DataFrame:
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(rule, counts.value)
         for batch in batches:
-            sizes, ids, prefixes = [], [], []
+            sizes, ids, prefixes, bits = [], [], [], []
             for run in chunks(batch["text"].to_pylist()):
                 for tokens, weights in shingler.sets(run):
                     n = len(tokens)
                     sizes.append(n)
                     ids.append(_set_id(tokens))
+                    bits.append(_parities(tokens))
                     first = np.lexsort((tokens, weights))[: rule.prefix(n)] if n else []
                     prefixes.append(tokens[first].view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -155,12 +164,13 @@ def signatures(docs: DataFrame, rule: Rule, counts) -> DataFrame:
                     pa.array(sizes, pa.int64()),
                     pa.array(ids, pa.binary()),
                     pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array(bits, pa.list_(pa.int64())),
                 ],
-                names=["id", "h", "n", "sid", "prefix"],
+                names=["id", "h", "n", "sid", "prefix", "bits"],
             )
 
     rows = docs.select("id", "text", F.xxhash64("text").alias("h"))
-    return rows.mapInArrow(sign, "id bigint, h bigint, n bigint, sid binary, prefix array<bigint>")
+    return rows.mapInArrow(sign, "id bigint, h bigint, n bigint, sid binary, prefix array<bigint>, bits array<bigint>")
 
 
 def _bits_of(hashes, bits: int):
@@ -168,10 +178,11 @@ def _bits_of(hashes, bits: int):
 
 
 def whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame) -> DataFrame:
-    """sid and tokens of the wanted sets (columns sid and id, the id of a document that has the set).
+    """sid and tokens of at least the wanted sets; ``wanted`` holds the id of a document with each.
 
-    Documents are passed over by a bitmap of their ids, whose size does not depend on the input; a false hit costs
-    time only, as the join with ``wanted`` follows.
+    Documents are passed over by a bitmap of their ids, whose size does not depend on the input; a false hit or a
+    repeated id adds rows that no pair asks for or that give a link twice. Tokens are the sorted lower 48 bits of the
+    shingles: two shingles of a pair of sets with a thousand members each are confused once in some 10 ** 8 pairs.
     """
     place = _bits_of(F.xxhash64("id"), FILTER_BITS)
     words = (
@@ -194,28 +205,66 @@ def whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame) -> DataFrame:
                 ids, sets = [], []
                 for tokens, _ in shingler.sets(run):
                     ids.append(_set_id(tokens))
-                    sets.append(tokens.view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["sid", "tokens"]
-                )
+                    sets.append(_packed(tokens))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], names=["sid", "tokens"])
+
+    return docs.select("text", place.alias("place")).mapInArrow(cut, "sid binary, tokens binary")
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    low = np.sort(tokens & np.uint64((1 << 48) - 1)).astype("<u8")
+    return low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-    rows = docs.select("text", place.alias("place")).mapInArrow(cut, "sid binary, tokens array<bigint>")
-    return rows.join(wanted.select("sid"), "sid").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+
+def _unpacked(data: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(data.as_buffer(), dtype=np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(raw), 8), dtype=np.uint8)
+    wide[:, :6] = raw
+    return wide.view("<u8").ravel()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) of set ids that link."""
-    left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    joined = both.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return joined.where(100 * common >= rule.percent * (F.size("ta") + F.size("tb") - common)).select("a", "b")
+    from pyspark.sql.functions import arrow_udf
+
+    percent = rule.percent
+
+    @arrow_udf("boolean")
+    def linked(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(left, right):
+            x, y = _unpacked(x), _unpacked(y)
+            common = len(np.intersect1d(x, y))
+            out.append(100 * common >= percent * (len(x) + len(y) - common))
+        return pa.array(out, type=pa.bool_())
+
+    both = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    needed = both.select(F.col("a").alias("sid")).union(both.select("b")).distinct()
+    if both.count() <= BROADCAST_PAIRS:  # then so few sets are asked for that the others need not be moved
+        needed = F.broadcast(needed)
+    asked = sets.join(needed, "sid", "left_semi")
+    left = asked.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
+    right = asked.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
+    return both.join(left, "a").join(right, "b").where(linked("ta", "tb")).select("a", "b")
 
 
-def _near(x, y, rule: Rule):
-    """Sizes that allow a link."""
-    return 100 * F.least(x, y) >= rule.percent * F.greatest(x, y)
+ENTRY = ["sid", "n", "i", "s", "bits", "alone"]
+
+
+def _may_link(rule: Rule):
+    """Whether an entry of a list and the entry ``p`` can link: by sizes, by places, and by parities.
+
+    Both share a token, the i-th of each. Before it stand s tokens that any other prefix has as well. The others are in
+    no other prefix, and so not in the other set either, as there they would stand before the shared token too. What can
+    be common is the shared token, the s before it, and what stands behind it. A class of shingles with different
+    parities has a member that one set lacks.
+    """
+    n, m, percent = F.col("n"), F.col("p.n"), rule.percent
+    most = 1 + F.least("s", "p.s") + F.least(n - F.col("i"), m - F.col("p.i"))
+    apart = sum(F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("p.bits", F.lit(k)))) for k in range(4))
+    by_size = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    by_place = 100 * most >= percent * (n + m - most)
+    return by_size & by_place & ((100 + percent) * (n + m - apart) >= 2 * percent * (n + m))
 
 
 def _pivot_pairs(entries: DataFrame, buckets: int, rule: Rule) -> DataFrame:
@@ -226,78 +275,84 @@ def _pivot_pairs(entries: DataFrame, buckets: int, rule: Rule) -> DataFrame:
     bucket = F.pmod(F.xxhash64("sid"), F.lit(buckets))
     pivots = (
         entries.groupBy("list", bucket.alias("bucket"))
-        .agg(F.min(F.struct("alone", "sid", "n", "comp")).alias("p"))
-        .select("list", F.col("p.sid").alias("a"), F.col("p.n").alias("m"), F.col("p.comp").alias("c"))
+        .agg(F.min(F.struct("alone", *ENTRY[:-1], "comp")).alias("p"))
+        .drop("bucket")
     )
-    joined = entries.join(pivots, "list").where((F.col("comp") != F.col("c")) & _near(F.col("n"), F.col("m"), rule))
-    return joined.select("a", F.col("sid").alias("b"))
+    joined = entries.join(pivots, "list").where((F.col("comp") != F.col("p.comp")) & _may_link(rule))
+    return joined.select(F.col("p.sid").alias("a"), F.col("sid").alias("b"))
 
 
 def _all_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
     """All pairs of members in different components; for lists of bounded length only."""
-    other = entries.select("list", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("c"))
-    joined = entries.join(other, "list").where(
-        (F.col("sid") < F.col("b")) & (F.col("comp") != F.col("c")) & _near(F.col("n"), F.col("m"), rule)
-    )
-    return joined.select(F.col("sid").alias("a"), "b")
+    other = entries.select("list", F.struct(*ENTRY, "comp").alias("p"))
+    apart = (F.col("sid") < F.col("p.sid")) & (F.col("comp") != F.col("p.comp"))
+    joined = entries.join(other, "list").where(apart & _may_link(rule))
+    return joined.select(F.col("sid").alias("a"), F.col("p.sid").alias("b"))
 
 
 def linked_sets(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     """sid and comp of every set that has a link to another set; comp is the smallest sid of its component."""
-    sets = signed.where("n > 0").groupBy("sid", "n").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"))
-    postings = sets.select("sid", "n", F.size("prefix").alias("length"), F.explode("prefix").alias("token"))
+    first_of = [F.first(c).alias(c) for c in ("prefix", "bits")]
+    sets = signed.where("n > 0").groupBy("sid", "n").agg(F.min("id").alias("id"), *first_of)
+    postings = sets.select(
+        "sid", "n", "id", "bits", F.size("prefix").alias("length"), F.posexplode("prefix").alias("i", "token")
+    )
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("token")
-    kept = stored(postings.join(shared, "token"), "postings")  # tokens of one set only link nothing
+    kept = postings.join(shared, "token")  # tokens of one set only link nothing
 
     # Collapse: sets with the same remaining prefix and size are one group, named by its smallest member.
-    remaining = kept.groupBy("sid", "n", "length").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-    remaining = remaining.withColumn("alone", F.col("length") - F.size("tokens"))
-    remaining = stored(remaining.select("sid", "n", "tokens", "alone"), "members")
+    in_order = F.array_sort(F.collect_list(F.struct((F.col("i") + 1).alias("i"), "token")))
+    remaining = kept.groupBy("sid", "n", "id", "bits", "length").agg(in_order.alias("kept"))
+    entries = F.transform("kept", lambda e, s: F.struct(e["token"].cast("string").alias("list"), e["i"].alias("i"), s.alias("s")))
+    remaining = remaining.select(
+        "sid", "n", "id", "bits", entries.alias("entries"), F.transform("kept", lambda e: e["token"]).alias("tokens"),
+        (F.col("length") - F.size("kept")).alias("alone"),
+    )
+    remaining = stored(remaining, "members")
     groups = remaining.groupBy("tokens", "n").agg(
-        F.min(F.struct("alone", "sid")).alias("first"), F.count(F.lit(1)).alias("members")
+        F.min(F.struct("alone", "sid", "bits", "entries")).alias("first"), F.count(F.lit(1)).alias("members")
     )
-    groups = stored(groups.select("tokens", "n", "first.alone", "first.sid", "members"), "groups")
+    groups = stored(groups.select("tokens", "n", "first.*", "members"), "groups")
+    whole = stored(whole_sets(docs, rule, remaining.select("id")), "sets")
 
-    wanted = stored(sets.select("sid", "id").join(remaining.select("sid"), "sid"), "wanted")
-    whole = stored(whole_sets(docs, rule, wanted), "sets")
+    def exploded(rows: DataFrame) -> DataFrame:
+        flat = rows.select(F.explode("entries").alias("e"), "sid", "n", "bits", "alone")
+        return flat.select("e.*", "sid", "n", "bits", "alone").select("list", *ENTRY)
 
     # First the group pairs of each token's list, and the members of each group, by one pivot each.
-    group_entries = groups.select(
-        F.explode(F.col("tokens").cast("array<string>")).alias("list"), "sid", "n", "alone", F.col("sid").alias("comp")
-    )
     several = groups.where("members > 1").select("tokens", "n", F.hex("sid").alias("list"))
-    inner = remaining.join(several, ["tokens", "n"]).select("list", "sid", "n", "alone", F.col("sid").alias("comp"))
-    first = _pivot_pairs(group_entries.union(inner), 1, rule)
-    links = stored(_verified(first, whole, rule), "links")
+    inner = remaining.join(several, ["tokens", "n"]).select(
+        "list", "sid", "n", F.lit(1).alias("i"), F.lit(0).alias("s"), "bits", "alone"
+    )
+    first = exploded(groups).unionByName(inner).withColumn("comp", F.col("sid"))
+    links = stored(_verified(_pivot_pairs(first, 1, rule), whole, rule), "links")
     comps = components(links)
 
     # Then expand: whatever is still apart within a list is compared, by more pivots each round in long lists.
-    lists = remaining.select(F.explode(F.col("tokens").cast("array<string>")).alias("list"), "sid", "n", "alone")
+    lists = exploded(remaining)
     reach, buckets = WHOLE_LIST, 4
     while True:
         entries = lists.join(comps.select(F.col("node").alias("sid"), "label"), "sid", "left")
-        entries = entries.select("list", "sid", "n", "alone", F.coalesce("label", "sid").alias("comp"))
-        entries = stored(entries, "entries")
+        entries = entries.withColumn("comp", F.coalesce("label", "sid")).drop("label")
         state = entries.groupBy("list").agg(
             F.count(F.lit(1)).alias("long"), F.min("comp").alias("c1"), F.max("comp").alias("c2")
         )
-        state = stored(state.where("c1 <> c2").select("list", "long"), "open-lists")
-        longest = state.agg(F.max("long")).first()[0]
+        entries = stored(entries.join(state.where("c1 <> c2").select("list", "long"), "list"), "open-lists")
+        longest = entries.agg(F.max("long")).first()[0]
         if longest is None:
-            return comps.select(F.col("node").alias("sid"), F.col("label").alias("comp"))
-        short = entries.join(state.where(F.col("long") <= reach).select("list"), "list")
-        pairs = _all_pairs(short, rule)
+            break
+        pairs = _all_pairs(entries.where(F.col("long") <= reach), rule)
         if longest > reach:
-            long = entries.join(state.where(F.col("long") > reach).select("list"), "list")
-            pairs = pairs.union(_pivot_pairs(long, buckets, rule))
+            pairs = pairs.union(_pivot_pairs(entries.where(F.col("long") > reach), buckets, rule))
         found = stored(_verified(pairs, whole, rule), "links")
         if not found.isEmpty():
             links = links.union(found)
             comps = components(links)
         if longest <= reach:
-            return comps.select(F.col("node").alias("sid"), F.col("label").alias("comp"))
-        lists = stored(lists.join(state.where(F.col("long") > reach).select("list"), "list"), "lists")
+            break
+        lists = entries.where(F.col("long") > reach).select("list", *ENTRY)
         reach, buckets = reach * 4, buckets * 4
+    return comps.select(F.col("node").alias("sid"), F.col("label").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,16 +393,19 @@ def keep_first(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
     found = stored(near_duplicates(docs, rule, id_col, text_col), "components")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     first = found.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(rank).alias("w")).select("w.doc_id", "w.text_hash")
-    blank = found.where(F.col("label").isNull()).select("doc_id", "text_hash")
     # A null id is told apart by the second key column.
     names = free_names(docs, "key", "null_key", "key_hash")
     own = F.col(id_col).cast("bigint")
     keyed = docs.withColumns(dict(zip(names, (F.coalesce(own, F.lit(0)), own.isNull(), F.xxhash64(text_col)))))
     found_key = (F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.col("text_hash"))
     key = [c.alias(n) for c, n in zip(found_key, names)]
-    chosen = stored(first.select(*key), "first-documents")
-    twins = found.where(F.col("label").isNotNull()).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    kept = keyed.join(chosen, names, "left_semi")
-    if not twins.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(names)
-    return kept.unionByName(keyed.join(blank.select(*key).distinct(), names, "left_semi")).drop(*names)
+    linked = found.where(F.col("label").isNotNull()).select("doc_id", "text_hash")
+    firsts = stored(first.select(*key), "first-documents")
+    # Most documents stay, so those that go are looked up; texts are moved only if these are too many to be sent.
+    losers = stored(linked.select(*key).distinct().join(firsts, names, "left_anti"), "later-documents")
+    kept = keyed.join(light(losers, BROADCAST_PAIRS), names, "left_anti")
+    twins = stored(linked.select(*key).groupBy(*names).count().where("count > 1").drop("count"), "equal-rows")
+    if not twins.isEmpty():
+        one = kept.join(light(twins, BROADCAST_PAIRS), names, "left_semi").dropDuplicates(names)
+        kept = kept.join(light(twins, BROADCAST_PAIRS), names, "left_anti").unionByName(one)
+    return kept.drop(*names)
