@@ -26,6 +26,7 @@ BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr th caption pre figure figcaption address nav header "
     "footer aside form fieldset details summary hr br menu dialog hgroup search option".split()
 )
+DOUBTED = frozenset("form fieldset".split())  # may be wrapped around a whole page
 DROPPED = frozenset("nav footer aside form menu dialog button select fieldset label input search header head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 WORDS = frozenset(
@@ -54,6 +55,7 @@ class Element(NamedTuple):
     path: str
     container: int  # the nearest container, itself included
     dropped: bool
+    mark: int  # the nearest mark, its own included; -1 if there is none
     inside: bool  # in an article or main
 
 
@@ -69,15 +71,21 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _is_dropped(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    if tag in DROPPED:
+    """Whether tag, role or style alone say that an element is no main text."""
+    if tag in DROPPED and tag not in DOUBTED:
         return not (tag == "header" and inside)
     if not attributes:
         return False
     if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    if "display:none" in attributes.get("style", "").replace(" ", ""):
+    return "display:none" in attributes.get("style", "").replace(" ", "")
+
+
+def _is_marked(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether class, id or a form suggest that an element is no main text; `_left_out` judges it by what it holds."""
+    if tag in DOUBTED:
         return True
-    if tag in ("html", "body"):
+    if not attributes or tag in ("html", "body"):
         return False
     names = [attributes.get("class", ""), attributes.get("id", "")]
     if tag in ("article", "main"):
@@ -85,31 +93,64 @@ def _is_dropped(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     return any(w.lower() in WORDS for n in names for w in _NAMES.findall(n))
 
 
+def _is_heart(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether an element shows that what it stands in is no mere addition; articles such as ``comment-body`` do not."""
+    if tag in ("main", "h1"):
+        return True
+    first = _NAMES.match(attributes.get("class", "").strip()) if tag == "article" else None
+    return tag == "article" and (first is None or first[0].lower() not in WORDS)
+
+
+def _left_out(marks: list[int], hearts: set[int], pieces: Iterable[tuple[int, str, int]]) -> list[bool]:
+    """For each mark, given by the mark around it, whether its text is left out.
+
+    It is not if an article, main or h1 stands in it, or most of the text outside links: then scores and votes decide.
+    Where that leaves nothing of a page, no mark counts.
+    """
+    weights = [0] * len(marks)
+    holds = [k in hearts for k in range(len(marks))]
+    seen = set()
+    total = 0
+    for mark, text, links in pieces:
+        size = sum(map(len, text.split()))
+        if size:
+            seen.add(mark)
+        if not links:
+            total += size
+            if mark >= 0:
+                weights[mark] += size
+    for k in range(len(marks) - 1, -1, -1):
+        if marks[k] >= 0:
+            weights[marks[k]] += weights[k]
+            holds[marks[k]] |= holds[k]
+    out: list[bool] = []
+    for k, above in enumerate(marks):
+        out.append((above >= 0 and out[above]) or not (holds[k] or 2 * weights[k] > total))
+    if all(mark >= 0 and out[mark] for mark in seen):
+        return [False] * len(marks)
+    return out
+
+
 def parsed(html: str) -> Page:
     """The text blocks of a page and the containers that they stand in. Broken markup is read as browsers would."""
-    containers: list[tuple[str, int, bool, str]] = [("", -1, False, "")]
-    blocks: list[tuple[int, str, int]] = []
-    stack = [Element("", "", 0, False, False)]
+    containers: list[tuple[str, int, bool, str, int]] = [("", -1, False, "", -1)]
+    runs: list[tuple[int, list[tuple[int, str, int]]]] = []  # container and pieces (mark, text, characters in links)
+    marks: list[int] = []
+    hearts: set[int] = set()
+    stack = [Element("", "", 0, False, -1, False)]
     opened: dict[str, int] = {}
-    pieces: list[str] = []
-    links = at = 0
+    pieces: list[tuple[int, str, int]] = []
+    at = 0
 
     def flush() -> None:
-        nonlocal links
         if pieces:
-            text = " ".join("".join(pieces).split())
-            if text and not stack[-1].dropped:
-                blocks.append((stack[-1].container, text, links))
+            runs.append((stack[-1].container, pieces.copy()))
             pieces.clear()
-        links = 0
 
     def say(text: str) -> None:
-        nonlocal links
         if text and not stack[-1].dropped:
             text = unescape(text) if "&" in text else text
-            pieces.append(text)
-            if opened.get("a"):
-                links += len(text.strip())
+            pieces.append((stack[-1].mark, text, len(text.strip()) if opened.get("a") else 0))
 
     def close(tag: str) -> None:
         while True:
@@ -135,14 +176,20 @@ def parsed(html: str) -> Page:
         top = stack[-1]
         attributes = _attributes(raw)
         dropped = top.dropped or _is_dropped(tag, attributes, top.inside)
+        mark = top.mark
+        if not dropped and _is_marked(tag, attributes):
+            marks.append(mark)
+            mark = len(marks) - 1
+        elif not dropped and mark >= 0 and _is_heart(tag, attributes):
+            hearts.add(mark)
         path, container = top.path, top.container
         if tag in CONTAINERS:
             name = attributes.get("class", "").split()
             step = tag + ("." + _DIGITS.sub("N", name[0]) if name else "")
             path = f"{path}/{step}"[-PATH_CHARS:]
-            containers.append((path, container, dropped, tag))
+            containers.append((path, container, dropped, tag, mark))
             container = len(containers) - 1
-        stack.append(Element(tag, path, container, dropped, top.inside or tag in ("article", "main")))
+        stack.append(Element(tag, path, container, dropped, mark, top.inside or tag in ("article", "main")))
         opened[tag] = opened.get(tag, 0) + 1
 
     for m in _TOKEN.finditer(html):
@@ -161,7 +208,15 @@ def parsed(html: str) -> Page:
             flush()
     say(html[at:])
     flush()
-    return Page(containers, blocks)
+    out = _left_out(marks, hearts, (p for _, run in runs for p in run)) if marks else []
+    blocks: list[tuple[int, str, int]] = []
+    for container, run in runs:
+        if out:
+            run = [p for p in run if p[0] < 0 or not out[p[0]]]
+        text = " ".join("".join([p[1] for p in run]).split())
+        if text:
+            blocks.append((container, text, sum([p[2] for p in run])))
+    return Page([(path, above, dropped or (mark >= 0 and out[mark]), tag) for path, above, dropped, tag, mark in containers], blocks)
 
 
 def candidates(page: Page) -> list[tuple[str, float]]:

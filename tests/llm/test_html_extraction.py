@@ -66,3 +66,39 @@ def test_a_host_votes(spark, broadcast):
 
 def test_empty_table(spark):
     assert H.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+STORY = "<p>" + "The long story of the day, told at length. " * 8 + "</p>"
+SIDE = '<div class="sidebar"><p>side</p></div>'
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="content-sidebar-wrap"><article><p>few words</p></article>%s</div><p>about this site and its owners</p>', "few words"),
+        ('<div id="page" class="has-sidebar"><main><p>few words</p></main>%s</div>', "few words"),
+        ('<div class="with-comments"><div class="top"><h1>T</h1><p>few words</p></div>%s</div><p>all rights are reserved by us</p>', "T\nfew words"),
+        (f'<form id="aspnetForm"><div class="body">{STORY}</div>%s<form><input>find</form></form>', None),
+        (f'<div id="page" class="has-sidebar"><form><fieldset><div>{STORY}</div></fieldset></form>%s</div>', None),
+    ],
+)
+def test_wrappers_keep_their_text(page, text):
+    found = H.extracted(f"<html><body>{page % SIDE}</body></html>", None)
+    assert (text or "story of the day") in found and "side" not in found
+
+
+def test_no_page_is_left_without_text():
+    page = f'<div class="content-sidebar">{STORY}</div><div class="share-wrap">{STORY}</div>{SIDE}'
+    assert H.extracted(f"<html><body>{page}</body></html>", None).count("story") == 16
+
+
+def test_marked_parts_stay_out():
+    comments = '<div class="comments"><article class="comment-body"><p>nice</p></article></div>'
+    page = f'<html><body><div class="has-sidebar"><main><h1>T</h1>{STORY}{comments}<form>ask</form></main>{SIDE}</div></body></html>'
+    assert H.extracted(page, "/html/body") == "T\n" + STORY[3:-4].strip()
+
+
+def test_a_host_of_wrapper_pages_votes(spark):
+    pages = site(4, lambda i: f'<div class="page with-comments"><div class="entry">{STORY}</div>{SIDE}</div>')
+    df = spark.createDataFrame(pages, "url string, html string")
+    assert {r.text for r in H.extract_pages(df).collect()} == {STORY[3:-4].strip()}
