@@ -15,16 +15,44 @@ K = 3  # words of a k-mer
 TUPLES = 64  # tuples of a fingerprint
 CHARS_PER_PARTITION = 8_000_000  # characters whose k-mers one task sorts
 BLANKS = " \t\n\v\f\r"
+WORD_CHARS = 16  # longer words are cut into pieces
+PIECE_CHARS = 4  # characters of a piece; one begins at each character
+# Fixed value: scripts that put no blanks between words.
+UNSPACED = "[" + "".join(rf"\p{{Is{s}}}" for s in "Han Hiragana Katakana Thai Lao Khmer Myanmar Tibetan".split()) + "]"
 
 _POS_BITS = 32
 _KEY = ["k", "h"]
 
 
+def _pieces(word: Column) -> Column:
+    """All runs of ``PIECE_CHARS`` characters of a word, or the word if it is shorter."""
+    return F.transform(
+        F.array(F.split(word, "")),
+        lambda c: F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(c) - PIECE_CHARS, F.lit(0))),
+            lambda i: F.concat_ws("", *(F.get(c, i + j) for j in range(PIECE_CHARS))),
+        ),
+    )[0]
+
+
+def _words(text: Column) -> Column:
+    """The words of a text; long ones and runs of unspaced scripts as their pieces."""
+    # Lengths are cheap to compare, and keep the pattern from plain ASCII.
+    wide = lambda x: F.octet_length(x) > F.length(x)
+    apart = F.when(wide(text) & F.regexp_like(text, F.lit(UNSPACED)), F.regexp_replace(text, f"({UNSPACED}+)", " $1 ")).otherwise(text)
+    words = F.split(F.btrim(apart, F.lit(BLANKS)), "[\\x20\\x09-\\x0D]+")
+
+    def is_cut(word: Column) -> Column:
+        return (F.length(word) > WORD_CHARS) | (wide(word) & F.regexp_like(word, F.lit("^" + UNSPACED)))
+
+    cut = lambda w: F.flatten(F.transform(w, lambda x: F.when(is_cut(x), _pieces(x)).otherwise(F.array(x))))
+    return F.transform(F.array(words), lambda w: F.when(F.exists(w, is_cut), cut(w)).otherwise(w))[0]
+
+
 def kmers(text: Column, k: int = K) -> Column:
     """Hashes of all runs of ``k`` words in text order; a text of fewer words is one run, one without words none."""
-    words = F.split(F.btrim(text, F.lit(BLANKS)), "[\\x20\\x09-\\x0D]+")
     runs = F.transform(
-        F.array(words),  # the words are cut once
+        F.array(_words(text)),  # the words are cut once
         lambda w: F.transform(
             F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))),
             lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k))),
@@ -120,7 +148,8 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Columns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (arrays), near_edited, near_next. The
     next document has the next smaller id; after the last comes the first. The last floor(n_chars / 3) characters
     are replaced by as many (or all) of the next one's first. Likeness is the share of equal tuples; two texts
-    without words have 1, one of them without words 0.
+    without words have 1, one of them without words 0. Words of more than ``WORD_CHARS`` characters and runs of scripts
+    without blanks count as their pieces of ``PIECE_CHARS`` characters, one from each character.
 
     A null text is empty. A null id comes after all others. Texts that share an id are ordered by a hash; rows equal
     in id and text count once in the order and each get a row. A single document is its own next one. An empty table

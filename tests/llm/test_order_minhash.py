@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakeprofile.llm import order_minhash as O
@@ -47,3 +49,25 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert len({tuple(r.fingerprint) for r in out if r.doc_id == 5}) == 1
     assert O.edit_fingerprints(df.limit(0)).collect() == []
     assert "-" in O.edit_fingerprints(df).select(O.shown(F.col("fingerprint")).alias("s")).first().s
+
+
+@pytest.mark.parametrize(
+    ("first", "last", "blank"),
+    [(0x4E00, 0x5E00, ""), (0x3041, 0x3096, ""), (0x0E01, 0x0E2E, ""), (0x61, 0x7A, "\xa0"), (0x41, 0x5A, ""), (0x1F600, 0x1F64F, "")],
+)
+def test_texts_without_blanks_keep_their_likeness(spark, first, last, blank):
+    draw = random.Random(first)
+    base, other = (blank.join("".join(chr(draw.randint(first, last)) for _ in range(5)) for _ in range(120)) for _ in range(2))
+    out = prints(spark, [other, base])
+    assert 0.1 < out[1].near_edited < 0.9 and out[1].near_next < 0.1
+    rows = [(1, 1, base, "x" + base), (2, 2, base + " tail of words", base[:300] + base[310:])]
+    df = spark.createDataFrame(rows, "k long, h long, left string, right string").withColumn("note", F.lit("n"))
+    assert min(r.likeness for r in O.fingerprint_pairs(df).collect()) > 0.6  # all places behind an edit move
+
+
+def test_short_words_are_one_piece(spark):
+    df = spark.createDataFrame([("a bc  def" + "g" * 13 + "\n",), ("ab中文字x " + "y" * 17,), ("中",), ("",)], "t string")
+    out = [r.w for r in df.select(O._words(F.col("t")).alias("w")).collect()]
+    assert out[0] == ["a", "bc", "def" + "g" * 13]
+    assert out[1] == ["ab", "中文字", "x", *["yyyy"] * 14] and out[2] == ["中"]
+    assert [r.n for r in df.select(F.size(O.kmers(F.col("t"))).alias("n")).collect()] == [1, 15, 1, None]
