@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeprofile.plans.extract import classify_files, extract
-from lakeprofile.plans.large import extract_large
+from lakeprofile.plans.large import classify_large, extract_large
 from lakeprofile.plans.topics import TopicModel
 from lakeprofile.sources.files import (
     INLINE_LIMIT,
@@ -15,7 +15,7 @@ from lakeprofile.sources.files import (
     path_batches,
     pending,
     read_files,
-    read_lines,
+    read_large,
     write_path_list,
 )
 from lakeprofile.sources.metadata import RECORD_SCHEMA, read_records, write_records
@@ -72,9 +72,8 @@ def crawl(
             small = read_files(spark, paths, inline_limit)
             write_records(extract(small, topic_model, sentinel_training, lda_preamble), target)
     for paths in path_batches(listing.filter(F.col("length") > inline_limit), batch_files):
-        large = list_files(spark, paths)
-        lines = read_lines(spark, paths, larger_than=inline_limit)
-        write_records(extract_large(large, lines, topic_model, sentinel_training, lda_preamble), target)
+        large = read_large(spark, paths)
+        write_records(extract_large(*large, topic_model, sentinel_training, lda_preamble), target)
 
 
 def write_errors(records: DataFrame, target: str) -> None:
@@ -84,5 +83,8 @@ def write_errors(records: DataFrame, target: str) -> None:
 
 
 def classify(spark: SparkSession, root: str, inline_limit: int = INLINE_LIMIT) -> DataFrame:
-    """Which extractor would accept each file up to the limit, without extracting anything."""
-    return classify_files(read_files(spark, root, inline_limit))
+    """Which extractor would accept each file, without extracting anything. Files above the limit go line by line."""
+    found = classify_files(read_files(spark, root, inline_limit))
+    for paths in path_batches(list_files(spark, root).filter(F.col("length") > inline_limit), BATCH_FILES):
+        found = found.unionByName(classify_large(*read_large(spark, paths)))
+    return found

@@ -1,5 +1,6 @@
 """The whole job on a small folder tree."""
 
+import gzip
 import json
 import os
 
@@ -13,7 +14,7 @@ from lakeprofile.operators.tree import edges
 from lakeprofile.plans import train
 from lakeprofile.plans.crawl import classify, crawl, records_done, write_errors
 from lakeprofile.plans.extract import extract
-from lakeprofile.plans.refine import refine
+from lakeprofile.plans.refine import refine, refine_columns
 from lakeprofile.plans.topics import TopicModel, train_topics
 from lakeprofile.sources import files as sources
 from lakeprofile.sources import metadata
@@ -249,3 +250,36 @@ def test_best_setting_of_the_grid(spark):
     grid = train.knn_grid(spark.createDataFrame(rows, "id long, features array<double>, label int"))
     assert grid.count() == 60
     assert train.best_setting(grid).first()["accuracy"] == 1.0
+
+
+def odd_files(lake):
+    (lake / "space/shot.png").write_bytes(b"\x89PNG\r\n\x1a\n" + bytes(60))
+    (lake / "rivers/packed.csv.gz").write_bytes(gzip.compress(table_text(30).encode()))
+    (lake / "rivers/named.csv.gz").write_text(table_text(30))
+    (lake / "rivers/latin.csv").write_bytes(table_text(30).replace("Site", "Größe").encode("latin-1"))
+    (lake / "space/dos.txt").write_bytes((PROSE * 30).replace(". ", ".\r\n").encode())
+
+
+def test_all_kinds_of_large_files_give_the_same_records(spark, lake, tmp_path, model):
+    odd_files(lake)
+    crawl(spark, str(lake), str(tmp_path / "whole"), topic_model=model)
+    crawl(spark, str(lake), str(tmp_path / "lines"), topic_model=model, inline_limit=0)
+    whole, lines = by_name(spark, tmp_path / "whole", lake), by_name(spark, tmp_path / "lines", lake)
+    assert sorted(whole) == sorted(lines) and len(whole) == 13
+    for name in whole:
+        for field in ("mime_type", "size", "extractors", "delimiter", "n_rows", "headers", "columns", "tags", "error"):
+            assert whole[name][field] == lines[name][field], (name, field)
+    kinds = [sorted((r["path"], r["route"], r["delimiter"], tuple(r["extractors"])) for r in classify(spark, str(lake), n).collect()) for n in (0, 500, 8_000_000)]
+    assert len(kinds[0]) == 13 and kinds[0] == kinds[1] == kinds[2]
+
+
+def test_the_stream_and_the_refinement_take_large_files(spark, lake, tmp_path):
+    odd_files(lake)
+    target = str(tmp_path / "stream")
+    incremental_crawl(spark, str(lake), target, str(tmp_path / "checkpoint"), inline_limit=300).awaitTermination()
+    records = metadata.read_records(spark, target)
+    assert records.count() == 13 and records.filter("size > 300").count() > 3
+    refined = refine_columns(records, sources.read_files(spark, str(lake), 300), training_rows(spark))
+    levels = [r for r in refined.collect() if r["file"] == "levels.csv"][0]
+    temp = [c for c in levels["columns"] if c["name"] == "temp"][0]
+    assert levels["size"] > 300 and temp["min"][0] == 10.0 and temp["n_values"] == 45
