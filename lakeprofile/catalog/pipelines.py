@@ -182,7 +182,7 @@ def _column_name_report(spark, sf):
 
 def _column_name_search(spark, sf):
     rows = _checkpointed_columns(spark, sf)
-    search = train.search_names(rows, trees=(5, 10), depths=(5, 7))
+    search = train.search_names(rows)
     settings = [
         ({param.name: int(value) for param, value in setting.items()}, float(accuracy))
         for setting, accuracy in zip(search.getEstimatorParamMaps(), search.avgMetrics)
