@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakeprofile.llm import (
     decontamination,
     html_extraction,
+    importance_resampling,
     jaccard_join,
     language_id,
     line_dedup,
@@ -121,6 +122,11 @@ def language_identification(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
 
 
+def target_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs, target = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return importance_resampling.resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": main_text,
     "op2_sharding": hash_tree_shards,
@@ -132,6 +138,7 @@ QUERIES: dict[str, Query] = {
     "op7_jaccard_join": jaccard_components,
     "op9_secret_scan": secret_spans,
     "op10_language_id": language_identification,
+    "op13_importance_resampling": target_resampling,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -143,15 +150,25 @@ def _draw(name: str, weight: str) -> str:
     return f"-ln(({digits} + 0.5) / {16**sharding._DIGITS}.0) / {weight}"
 
 
+# The checksum is computed byte by byte from its table, which follows from the polynomial.
+_CHECKSUM_TABLE = """bits(i, k, c) as (
+  select i, 0, i::bigint from range(256) r(i) union all
+  select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8),
+tab as (select list(c order by i) as t from bits where k = 8)"""
+
+
+def _checksum(text: str) -> str:
+    """The unsigned checksum of a text, beside the table ``tab``."""
+    found = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::bigint)"
+    step = "lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {found}), {step}), 4294967295)"
+
+
 _REGION = sharding.RACKS_PER_REGION * sharding.SHARDS_PER_RACK
 
 SQL: dict[str, str] = {
-    # The checksum is computed byte by byte from its table, which follows from the polynomial.
     "op2_sharding": f"""
-with recursive bits(i, k, c) as (
-  select i, 0, i::bigint from range(256) r(i) union all
-  select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8),
-tab as (select list(c order by i) as t from bits where k = 8),
+with recursive {_CHECKSUM_TABLE},
 d as (select row_number() over () as r, doc_id, coalesce(doc_id::varchar, 'null') as key, encode(coalesce(text, '')) as s
       from documents),
 b as (select *, [('0x' || h)::bigint for h in regexp_extract_all(hex(s), '..')] as bytes from d),
@@ -209,4 +226,35 @@ items as (
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from dw left join words using (r) left join items using (r)""",
+    "op13_importance_resampling": f"""
+with recursive {_CHECKSUM_TABLE},
+dw as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+df as (select r, unnest(w) as word from dw),
+bf as (select unnest({_WORDS}) as word from benchmark),
+hashed as (
+  select word, {_checksum("word")} % {importance_resampling.BUCKETS} as bucket
+  from (select word from df union select word from bf), tab),
+own as (select bucket, count(*) as n from df join hashed using (word) group by 1),
+wanted as (select bucket, count(*) as n from bf join hashed using (word) group by 1),
+sums as (
+  select coalesce((select sum(n) from own), 0) + {importance_resampling.BUCKETS}.0::double as a,
+    coalesce((select sum(n) from wanted), 0) + {importance_resampling.BUCKETS}.0::double as b),
+gains as (
+  select bucket, floor(1000 * ln(((coalesce(wanted.n, 0) + 1) * a) / ((own.n + 1) * b)))::bigint as gain
+  from own left join wanted using (bucket), sums),
+weighed as (
+  select r, count(*) as n, floor(sum(gain)::double / count(*))::bigint as weight
+  from df join hashed using (word) join gains using (bucket) group by r),
+draws as (
+  select r, doc_id, len(w) as n_words, ('0x' || substr(sha256('{importance_resampling.SEED}:' || doc_id), 1, 8))::bigint as h from dw),
+scored as (
+  select r, doc_id, n_words, coalesce(n, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))))::bigint as score
+  from draws left join weighed using (r)),
+placed as (
+  select r, row_number() over (order by score desc, doc_id) as place, count(*) over () as n
+  from scored where n_words >= {importance_resampling.LEAST_WORDS})
+select doc_id, n_features, weight, score,
+  case when place <= floor(n * {importance_resampling.PERCENT} / 100) then place end::bigint as rank
+from scored left join placed using (r)""",
 }
