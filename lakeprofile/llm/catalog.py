@@ -19,6 +19,7 @@ from lakeprofile.llm import (
     sentencepiece_codec,
     sharding,
     token_counts,
+    whitening,
 )
 from lakeprofile.llm.common import shared_folder
 
@@ -122,6 +123,11 @@ def language_identification(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
 
 
+def whitened_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    done = whitening.whiten(table(spark, folder, "embeddings"))
+    return done.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 def target_resampling(spark: SparkSession, folder: str) -> DataFrame:
     docs, target = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return importance_resampling.resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
@@ -138,6 +144,7 @@ QUERIES: dict[str, Query] = {
     "op7_jaccard_join": jaccard_components,
     "op9_secret_scan": secret_spans,
     "op10_language_id": language_identification,
+    "op11_whitening": whitened_embeddings,
     "op13_importance_resampling": target_resampling,
 }
 
