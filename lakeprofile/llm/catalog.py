@@ -15,6 +15,7 @@ from lakeprofile.llm import (
     language_id,
     line_dedup,
     order_minhash,
+    quality_classifier,
     secret_scan,
     sentencepiece_codec,
     sharding,
@@ -128,6 +129,16 @@ def whitened_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return done.withColumn("deviation", F.col("deviation").try_cast("bigint"))
 
 
+GOOD = 0.3  # least score of a document that is taken for good
+
+
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = table(spark, folder, "labels").select("doc_id", "quality").where(~held_out)
+    done = quality_classifier.classify(table(spark, folder, "documents"), labels)
+    return done.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def target_resampling(spark: SparkSession, folder: str) -> DataFrame:
     docs, target = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return importance_resampling.resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
@@ -145,6 +156,7 @@ QUERIES: dict[str, Query] = {
     "op9_secret_scan": secret_spans,
     "op10_language_id": language_identification,
     "op11_whitening": whitened_embeddings,
+    "op12_quality_classifier": quality_scores,
     "op13_importance_resampling": target_resampling,
 }
 
