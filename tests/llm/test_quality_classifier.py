@@ -17,7 +17,7 @@ def test_statistics():
     got = named("Äb 12 ab ab##\nab.\n\n")
     assert got["characters"] == math.log1p(19) and got["words"] == math.log1p(5) and got["lines"] == math.log1p(4)
     assert got["digits"] == 2 / 19 and got["symbols"] == 2 / 19 and got["blanks"] == pytest.approx(6 / 19)
-    assert got["letterless_words"] == 1 / 5 and got["symbol_endings"] == 1 / 5 and got["blank_lines"] == 0.5
+    assert got["letterless_words"] == pytest.approx(0.2) and got["symbol_endings"] == 1 / 5 and got["blank_lines"] == 0.5
     assert got["closed_lines"] == 0.5 and got["distinct_words"] == 1.0 and got["echoes"] == 0
     assert named("a a a a")["echoes"] == 3 / 4 and named("a a a a")["top_word"] == 1.0
     assert named("x\nx\ny")["repeated_lines"] == pytest.approx(1 / 3)
