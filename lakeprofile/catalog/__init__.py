@@ -27,8 +27,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def entries() -> list[Entry]:
-    from lakeprofile.catalog import files, models, pipelines, profiles, tables, text, tree
+    from lakeprofile.catalog import crawls, files, models, pipelines, profiles, tables, text, tree
 
-    found = [e for m in (profiles, files, tables, text, tree, models, pipelines) for e in m.ENTRIES]
+    found = [e for m in (profiles, files, tables, text, tree, models, pipelines, crawls) for e in m.ENTRIES]
     assert len({e.name for e in found}) == len(found)
     return found

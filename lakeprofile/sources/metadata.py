@@ -18,7 +18,7 @@ RECORD_SCHEMA = (
     "path string, modified timestamp, file string, extension string, mime_type string, checksum string, size long, "
     "extractors array<string>, delimiter string, n_rows long, headers array<string>, "
     f"columns array<{COLUMN_SCHEMA}>, "
-    "topics array<struct<topic:int,weight:double>>, tags array<string>, topics_source string, error string"
+    "topics array<struct<topic:int,weight:double>>, tags array<string>, topics_source string, error string, error_kind string"
 )
 
 

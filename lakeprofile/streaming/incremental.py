@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from lakeprofile.functions import scalar as S
 from lakeprofile.plans.extract import extract
 from lakeprofile.plans.large import extract_large
-from lakeprofile.sources.files import BINARY_SCHEMA, INLINE_LIMIT, read_files, read_large
+from lakeprofile.sources.files import BINARY_SCHEMA, INLINE_LIMIT
+from lakeprofile.sources.stores import read_listed, stored
 
 
 def incremental_crawl(
@@ -21,17 +22,18 @@ def incremental_crawl(
     checkpoint: str,
     *,
     records: Callable[[DataFrame], DataFrame] = extract,
-    large_records: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = extract_large,
+    large_records: Callable[[DataFrame], DataFrame] = extract_large,
     files_per_batch: int = 10_000,
     inline_limit: int = INLINE_LIMIT,
 ) -> StreamingQuery:
     """Start a query that writes the records of all new files and then ends.
 
     The checkpoint remembers which files are done. A batch that is repeated after a failure replaces its own
-    folder below ``target``, so no record is written twice. ``records`` turns (path, content) into records,
-    for example `extract` with its models bound; ``large_records`` turns the listing, lines and leading bytes of
-    files above ``inline_limit`` into theirs, for example `extract_large` with the same models bound. The stream
-    itself carries names only; each batch opens its own files.
+    The checkpoint remembers which files are done. A batch that is repeated after a failure replaces its own
+    folder below ``target``, so no record is written twice. ``records`` turns (path, modificationTime, length, content,
+    error_kind, error) into records, for example `extract` with its models bound; ``large_records`` turns the listing of
+    files above ``inline_limit`` into theirs, for example `extract_large` with the same models bound. The stream itself
+    carries names only; the tasks of a batch open its files, and one that fails meanwhile is recorded with its error.
     """
     files = (
         spark.readStream.format("binaryFile")
@@ -40,19 +42,19 @@ def incremental_crawl(
         .option("maxFilesPerTrigger", files_per_batch)
         .load(root)
         .filter(~S.is_hidden(S.file_name(F.col("path"))))
-        .select("path", "length")
+        .select("path", "length", "modificationTime")
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        found = batch.collect()
-        small = [r["path"] for r in found if r["length"] <= inline_limit]
-        large = [r["path"] for r in found if r["length"] > inline_limit]
+        listing = stored(batch, "batch")
+        small = F.col("length") <= inline_limit
+        counts = listing.agg(F.count_if(small).alias("small"), F.count_if(~small).alias("large")).first()
         mode = "overwrite"
-        if small:
-            records(read_files(spark, small, None)).write.mode(mode).json(f"{target}/batch={batch_id}")
+        if counts["small"]:
+            records(read_listed(listing.where(small))).write.mode(mode).json(f"{target}/batch={batch_id}")
             mode = "append"
-        if large:
-            large_records(*read_large(spark, large)).write.mode(mode).json(f"{target}/batch={batch_id}")
+        if counts["large"]:
+            large_records(listing.where(~small)).write.mode(mode).json(f"{target}/batch={batch_id}")
 
     return (
         files.writeStream.foreachBatch(write)
