@@ -16,6 +16,7 @@ from lakeprofile.functions import patterns as P
 from lakeprofile.functions import scalar as S
 from lakeprofile.operators.discover import detected_dialect, find_tables, table_columns, table_headers
 from lakeprofile.operators.lines import find_tables_in_lines
+from lakeprofile.sources.stores import stored
 
 KEYS_PER_TEXT = 100
 LAST_PREAMBLE_LINE = "Report of orders"
@@ -105,9 +106,11 @@ select * from profiled"""
 
 
 def _as_lines(files: DataFrame) -> DataFrame:
-    return files.select(
+    """Numbered lines, stored once: all later passes read the same numbers."""
+    lines = files.select(
         F.col("file_id").alias("path"), F.posexplode(F.split("text", P.EOL, -1)).alias("position", "line")
     )
+    return stored(lines, "lines")
 
 
 def _table_profile_lines(spark, sf):

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeprofile.functions import patterns as P
+from lakeprofile.session import ensure_checkpoint_dir
 
 # The functions below run in Python workers, where this package need not be installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,6 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BROADCAST_VALUES = 4_000_000  # numbers in a training table small enough to hand to every task
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
+VISITS_PER_CHUNK = 16 * QUERY_ROWS
 PIVOTS = 64
 
 
@@ -169,6 +171,20 @@ def _in_blocks(queries: DataFrame, train: DataFrame, k: int, metric: str) -> tup
     return visits, placed
 
 
+def _met(visits: DataFrame, placed: DataFrame, per_chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the chunk in which they meet: blocks with many visits are cut by the counted visits.
+
+    A training row goes once to each chunk of its own block, so once only unless the block is hot, and not at all if
+    no query visits it. Visits are stored, as they are counted before they are dealt.
+    """
+    ensure_checkpoint_dir(visits.sparkSession)
+    visits = visits.checkpoint()
+    counted = visits.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / per_chunk).cast("int").alias("_chunks")).checkpoint()
+    visits = visits.join(counted, ["cell", "block"]).withColumn("chunk", F.pmod(F.xxhash64("qid", "split"), F.col("_chunks")).cast("int"))
+    placed = placed.join(counted, ["cell", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    return visits.drop("_chunks"), placed.drop("_chunks")
+
+
 def nearest(
     queries: DataFrame,
     train: DataFrame,
@@ -176,13 +192,14 @@ def nearest(
     metric: str = "euclidean",
     mode: str = "all",
     broadcast_values: int = BROADCAST_VALUES,
-    query_chunks: int | None = None,
+    visits_per_chunk: int = VISITS_PER_CHUNK,
 ) -> DataFrame:
     """(qid, split, tid, label, dist, rank): the ``k`` nearest training rows of each query by (dist, tid).
 
     ``queries`` holds (qid, features) and optionally ``split``; ``train`` holds (tid, features, label). With
     mode ``others`` a query skips the training row of its own id; with mode ``splits`` it skips the rows whose
-    array ``held_out`` names the split of the query.
+    array ``held_out`` names the split of the query. Beyond ``broadcast_values`` numbers the training table is cut into
+    blocks; ``visits_per_chunk`` bounds the queries that meet a block in one task.
     """
     if "split" not in queries.columns:
         queries = queries.withColumn("split", F.lit(0))
@@ -212,10 +229,7 @@ def nearest(
 
         # All neighbours of a query are found together, in order.
         return queries.mapInPandas(scan, schema)
-    visits, placed = _in_blocks(queries, train, k, metric)
-    chunks = query_chunks or max(1, -(-queries.count() // (QUERY_ROWS * 16)))
-    visits = visits.withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int"))
-    placed = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    visits, placed = _met(*_in_blocks(queries, train, k, metric), visits_per_chunk)
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return _best(left, right, k, metric, mode)

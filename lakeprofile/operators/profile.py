@@ -2,18 +2,22 @@
 
 Two input shapes, two strategies, one result:
 
-* a structured table (`profile_columns`) is scanned three times with a single ungrouped aggregate each, so
-  nothing but one row per task is ever shuffled, whatever the table holds;
+* a structured table (`profile_columns`) is scanned once; each task folds its rows into a bounded state per column,
+  so nothing but a few rows per task and column is ever shuffled, whatever the table holds;
 * long cells keyed by file and ordinal (`profile_cells`) are reduced inside each task, batch by batch, to at
   most six candidates per column before the first shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+import sys
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +25,9 @@ from pyspark.sql import types as T
 from lakeprofile.functions import scalar as S
 from lakeprofile.session import ensure_checkpoint_dir
 
+# The functions below run in Python workers, where this package need not be installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EXTREMES = 3
 
 
@@ -48,65 +55,84 @@ def averages(total: Column, n_values: Column, n_rows: Column, smallest: Column,
     }
 
 
+def _smallest(values: np.ndarray) -> np.ndarray:
+    """The smallest distinct values, rising."""
+    found = []
+    while len(values) and len(found) < EXTREMES:
+        found.append(values.min())
+        values = values[values > found[-1]]
+    return np.array(found)
+
+
+def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bounded state of each column over all batches of a task, as rows (ordinal, side, value, total, counts).
+
+    Side 0 holds the sums, side 1 the smallest values and side 2 the negated largest ones.
+    """
+    n_rows, states = 0, []
+    for batch in batches:
+        states = states or [[0.0, 0, np.zeros(0), np.zeros(0)] for _ in batch.columns]
+        n_rows += batch.num_rows
+        for state, column in zip(states, batch.columns):
+            values = column.drop_null().to_numpy(zero_copy_only=False)
+            if len(values):
+                state[0] += values.sum()
+                state[1] += len(values)
+                state[2] = _smallest(np.concatenate((state[2], _smallest(values))))
+                state[3] = _smallest(np.concatenate((state[3], _smallest(-values))))
+    rows = []
+    for i, (total, n, low, high) in enumerate(states):
+        rows.append((i, 0, None, total, n, n_rows))
+        rows += [(i, side, float(v), 0.0, 0, 0) for side, values in ((1, low), (2, high)) for v in values]
+    if rows:
+        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+        yield pa.RecordBatch.from_arrays(columns, names=["ordinal", "side", "value", "total", "n_values", "n_rows"])
+
+
 def profile_columns(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     sentinels: Mapping[str, float] | None = None,
 ) -> DataFrame:
-    """Profile the numeric columns of a structured table, one result row per column.
+    """Profile the numeric columns of a structured table, one result row per column, in one scan.
 
-    A sentinel given for a column hides the values within one unit of it. The second and third extremes come
-    from two further scans restricted to values beyond the extremes known so far. The first two scans each
-    hand one row (two numbers a column) to the driver, the last one stays part of the returned plan.
+    A sentinel given for a column hides the values within one unit of it. Each task folds its rows into three distinct
+    extremes a side, a sum and counts per column and hands on seven rows a column; these are merged by value, ranked
+    with the limit applied before the shuffle, and gathered. Nothing runs while the plan is built.
     """
     columns = list(columns if columns is not None else numeric_columns(df))
     sentinels = sentinels or {}
-    aliases = [f"v{i}" for i in range(len(columns))]
     values = df.select(
         *[
-            S.without_sentinel(_finite(F.col(c)), F.lit(sentinels.get(c)).cast("double")).alias(a)
-            for c, a in zip(columns, aliases)
+            S.without_sentinel(_finite(F.col(c)), F.lit(sentinels.get(c)).cast("double")).alias(f"v{i}")
+            for i, c in enumerate(columns)
         ]
     )
-
-    def beyond(known: Row | None) -> list[Column]:
-        """Smallest and largest value of each column outside the range known so far."""
-        found = []
-        for a in aliases:
-            low = high = F.col(a)
-            if known is not None:
-                low = F.when(F.col(a) > F.lit(known[f"lo_{a}"]), F.col(a))
-                high = F.when(F.col(a) < F.lit(known[f"hi_{a}"]), F.col(a))
-            found += [F.min(low).alias(f"lo_{a}"), F.max(high).alias(f"hi_{a}")]
-        return found
-
-    counts = [F.count(F.lit(1)).alias("n_rows")]
-    for a in aliases:
-        counts += [F.sum(a).alias(f"sum_{a}"), F.count(a).alias(f"n_{a}")]
-    first = values.agg(*counts, *beyond(None)).first()
-    second = values.agg(*beyond(first)).first()
-    third = values.agg(*beyond(second))
-
-    def present(side: str, alias: str) -> Column:
-        name = f"{side}_{alias}"
-        found = F.array(F.lit(first[name]).cast("double"), F.lit(second[name]).cast("double"), F.col(name))
-        return F.filter(found, lambda x: x.isNotNull())
-
-    per_column = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("ordinal"),
-                F.lit(c).alias("name"),
-                F.lit(first[f"n_{a}"]).cast("long").alias("n_values"),
-                F.lit(first["n_rows"]).cast("long").alias("n_rows"),
-                present("lo", a).alias("min"),
-                present("hi", a).alias("max"),
-                F.lit(first[f"sum_{a}"]).cast("double").alias("total"),
-            )
-            for i, (c, a) in enumerate(zip(columns, aliases))
-        ]
+    schema = "ordinal int, side int, value double, total double, n_values long, n_rows long"
+    sums = [F.sum(c).alias(c) for c in ("total", "n_values", "n_rows")]
+    merged = values.mapInArrow(_fold, schema).groupBy("ordinal", "side", "value").agg(*sums)
+    rank = F.row_number().over(W.partitionBy("ordinal", "side").orderBy("value"))
+    best = merged.withColumn("rank", rank).filter(F.col("rank") <= EXTREMES)
+
+    def side(number: int) -> Column:
+        found = F.collect_list(F.when(F.col("side") == number, F.col("value")))
+        return F.sort_array(found)
+
+    gathered = best.groupBy("ordinal").agg(
+        *sums, side(1).alias("min"), F.transform(side(2), lambda v: F.lit(0.0) - v).alias("max")
+    )
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "ordinal int, name string")
+    empty = F.array().cast("array<double>")
+    found = names.join(F.broadcast(gathered), "ordinal", "left")  # one row per column on either side
+    long = found.select(
+        "ordinal", "name",
+        F.coalesce("n_values", F.lit(0)).alias("n_values"),
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        F.coalesce("min", empty).alias("min"),
+        F.coalesce("max", empty).alias("max"),
+        F.when(F.col("n_values") > 0, F.col("total")).alias("total"),
     )
-    long = third.select(F.explode(per_column).alias("c")).select("c.*")
     return with_averages(long)
 
 

@@ -35,7 +35,7 @@ def test_nearest_is_exact(spark, monkeypatch, metric, bound, mode):
     queries = [(i, v) for i, v, _ in points(160, 80, 1)[:60] + train[-5:]]
     q = spark.createDataFrame(queries, "qid long, features array<double>")
     t = spark.createDataFrame(train, "tid long, features array<double>, label int")
-    found = K.nearest(q, t, 9, metric, mode=mode, broadcast_values=bound, query_chunks=3)
+    found = K.nearest(q, t, 9, metric, mode=mode, broadcast_values=bound, visits_per_chunk=20)
     got = {}
     for r in found.collect():
         got.setdefault(r["qid"], []).append((round(r["dist"], 9), r["tid"], r["label"]))
@@ -53,7 +53,7 @@ def test_held_out_rows_are_skipped(spark, monkeypatch, bound):
     q = spark.createDataFrame(queries, "qid long, split int, features array<double>")
     t = spark.createDataFrame(train, "tid long, features array<double>, label int, held_out array<int>")
     got = {}
-    for r in K.nearest(q, t, 9, mode="splits", broadcast_values=bound, query_chunks=2).collect():
+    for r in K.nearest(q, t, 9, mode="splits", broadcast_values=bound, visits_per_chunk=30).collect():
         got.setdefault((r["split"], r["qid"]), []).append((round(r["dist"], 9), r["tid"], r["label"]))
     expected = {}
     for s in range(3):
@@ -82,3 +82,25 @@ def test_vote_weighs_by_inverse_distance_and_zero_distance_wins(spark):
     assert got[2] == ("a", 0.5)
     uniform = {r["qid"]: r["prediction"] for r in K.vote(df, "uniform").collect()}
     assert uniform == {0: "b", 1: "b", 2: "a"}
+
+
+def test_training_rows_go_to_their_own_block_only(spark, monkeypatch):
+    """Every pair that may matter meets once, and training rows are copied only in blocks with many visits."""
+    monkeypatch.setattr(K, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(K, "PIVOTS", 6)
+    train = points(160, 0, 3)
+    q = spark.createDataFrame([(i, 0, v) for i, v, _ in train], "qid long, split int, features array<double>")
+    t = spark.createDataFrame(train, "tid long, features array<double>, label int")
+    visits, placed = K._met(*K._in_blocks(q, t, 9, "euclidean"), 25)
+    per_block = {}
+    for r in visits.collect():
+        per_block.setdefault((r.cell, r.block), []).append((r.qid, r.chunk))
+    copies = {}
+    for r in placed.collect():
+        copies.setdefault((r.cell, r.block, r.tid), []).append(r.chunk)
+    assert len({tid for _, _, tid in copies}) == len(copies) <= 160
+    for (cell, block, _), chunks in copies.items():
+        n = len(per_block[cell, block])
+        assert sorted(chunks) == list(range(-(-n // 25)))
+    for seen in per_block.values():
+        assert len({q for q, _ in seen}) == len(seen)

@@ -114,3 +114,20 @@ def test_vocabulary_is_whole_and_ordered(spark):
     assert [(r["term"], r["term_id"], r["n_docs"], r["n"]) for r in vocab.orderBy("term_id").collect()] == [
         ("aaa", 0, 2, 3), ("bbb", 1, 2, 2), ("ccc", 2, 1, 1), ("ddd", 3, 1, 1),
     ]
+
+
+def test_a_table_is_profiled_in_one_scan_and_not_while_planning(spark):
+    rows = [(float(i % 50), i % 7, None if i % 3 else 0.1 * i, float("nan")) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a double, b int, c double, d double").repartition(9)
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    profile = profile_columns(df)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    plan = profile._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") + plan.count("ExistingRDD") <= 2 and plan.count("MapInArrow") == 1
+    got = {r.name: r for r in profile.collect()}
+    assert list(got["a"].min) == [0.0, 1.0, 2.0] and list(got["a"].max) == [49.0, 48.0, 47.0] and got["a"].total == 24500.0
+    assert got["b"].n_values == 1000 and list(got["b"].max) == [6.0, 5.0, 4.0]
+    assert got["c"].n_values == 334 and abs(got["c"].total - 0.1 * sum(range(0, 1000, 3))) < 1e-6
+    assert (got["d"].n_values, got["d"].n_rows, list(got["d"].min), got["d"].total) == (0, 1000, [], None)
+    none = {r.name: r for r in profile_columns(df.limit(0)).collect()}
+    assert len(none) == 4 and all(r.n_rows == 0 and list(r.max) == [] and r.avg is None for r in none.values())
