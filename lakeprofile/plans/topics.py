@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from lakeprofile.functions import patterns as P
 from lakeprofile.functions import scalar as S
 from lakeprofile.operators.text import tokenize
-from lakeprofile.session import ensure_checkpoint_dir
+from lakeprofile.sources.stores import stored
 
 TAG_WORDS = 10
 LARGEST_DICTIONARY = 2_000_000
+ITERATIONS = 5
 
 
 class TopicModel(NamedTuple):
@@ -43,25 +44,27 @@ class TopicModel(NamedTuple):
 
 
 def train_topics(
-    docs: DataFrame, k: int = 10, largest: int = LARGEST_DICTIONARY, seed: int = 7, iterations: int = 20, text: str = "text"
+    docs: DataFrame, k: int = 10, largest: int = LARGEST_DICTIONARY, seed: int = 7, iterations: int = ITERATIONS, text: str = "text"
 ) -> TopicModel:
     """Fit a dictionary and an LDA model on all words of all documents; every iteration uses every document.
 
+    Texts are cut once and the words stored; dictionary and counts come from there. As each step sees the whole corpus,
+    steps are long from the start (learning offset 1): a few of them fit better than many short ones.
+
     MLlib keeps the dictionary on the driver and a weight per word and topic in each task, so a corpus with more than
     ``largest`` different words is refused with an error; its words are never cut.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
     # Documents without words stay: a filter on the words would cut every text twice, and both models skip them.
-    tokens = tokenize(docs, text).select("tokens")
-    different = tokens.select(F.explode("tokens").alias("term")).distinct().count()
-    if different > largest:
-        raise ValueError(f"{different} different words; a topic model holds {largest} at most")
-    vectorizer = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=max(different, 1)).fit(tokens)
+    tokens = stored(tokenize(docs, text).select("tokens"), "tokens")
+    # Room for one word more than allowed, so that too large a dictionary shows without a count of its own.
+    vectorizer = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=largest + 1).fit(tokens)
+    if len(vectorizer.vocabulary) > largest:
+        raise ValueError(f"more than {largest} different words, which is what a topic model holds at most")
     lda = LDA(
-        k=k, seed=seed, maxIter=iterations, optimizer="online", subsamplingRate=1.0, featuresCol="counts"
+        k=k, seed=seed, maxIter=iterations, optimizer="online", subsamplingRate=1.0, learningOffset=1.0, featuresCol="counts"
     )
-    # Every iteration passes over the counts, which are read from the checkpoint instead of cut from the text again.
-    return TopicModel(vectorizer, lda.fit(vectorizer.transform(tokens).select("counts").checkpoint()))
+    # Every iteration passes over the counts, which are read from storage instead of counted again.
+    return TopicModel(vectorizer, lda.fit(stored(vectorizer.transform(tokens).select("counts"), "counts")))
 
 
 def infer_topics(docs: DataFrame, model: TopicModel, text: str = "text") -> DataFrame:
