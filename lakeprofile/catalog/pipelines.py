@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeprofile.catalog import Entry, sql, table
-from lakeprofile.catalog.files import document_files, page_files
+from lakeprofile.catalog.files import DOC_PATH_SQL, URL_PATH_SQL, document_files, page_files
 from lakeprofile.catalog.models import vectors
 from lakeprofile.catalog.tables import (
     CLASSIFY_DOCUMENTS_SQL,
+    ITEM_NAMES,
+    KEYS_PER_TEXT,
+    LAST_PREAMBLE_LINE,
     NAMES,
+    ORDER_KEYS_PER_TEXT,
     TABLE_PROFILE_SQL,
     rendered_items,
     rendered_orders,
 )
+from lakeprofile.functions import patterns as P
 from lakeprofile.functions import scalar as S
 from lakeprofile.functions.rows import explode_computed
 from lakeprofile.operators.discover import find_tables, table_columns
@@ -26,7 +31,7 @@ from lakeprofile.plans.refine import refine
 from lakeprofile.plans.sentinels import infer_sentinels
 from lakeprofile.plans.topics import infer_topics, train_topics
 from lakeprofile.session import ensure_checkpoint_dir
-from lakeprofile.sources.metadata import records_to_json, training_columns
+from lakeprofile.sources.metadata import RECORD_SCHEMA, records_to_json, training_columns
 
 TOPICS = 8
 
@@ -254,6 +259,87 @@ select doc_id, has_topics, case when has_topics then 1.0::double end as total, c
   case when has_topics then 10 end::bigint as n_tags
 from d"""
 
+# ---- what holds of models whatever they were fitted to
+
+_CUT = "regexp_extract_all(regexp_replace({}, '<[^\\r\\n]+>', '', 'g'), '[a-zA-Z]{{3,}}')"
+_PROSE = "coalesce(length(regexp_replace(substring({0}, 1, 1000), '[^0-9]', '', 'g')) / nullif(length(substring({0}, 1, 1000)), 0) < 0.2, false)"
+
+
+def _lake_sql(preambles: bool) -> str:
+    """The lake as texts, and which of its files have topics of their own: those with a word of the dictionary, which
+    holds the words of all documents, in their prose or in the preamble of their table. No document or page is a table
+    (`classify_documents` shows it for the documents)."""
+    preamble = f"right(concat_ws(chr(10), d.text, '{LAST_PREAMBLE_LINE}'), {P.PREAMBLE_CHARS})" if preambles else "cast(null as varchar)"
+    return f"""{_rendered_sql()},
+lake as (
+  select {DOC_PATH_SQL} as path, text, cast(null as varchar) as delimiter, cast(null as bigint) as n_rows,
+         case when {_PROSE.format("text")} then text end as topic_text from documents
+  union all
+  select {URL_PATH_SQL}, html, null, null, case when {_PROSE.format("html")} then html end from pages
+  union all
+  select concat('lake/orders/', file_id, '.csv'), t.text, t.delimiter, t.n_rows, {preamble}
+  from texts t left join documents d on d.doc_id = file_id),
+dictionary as (select distinct unnest({_CUT.format("text")}) as word from documents),
+numbered as (select row_number() over () as r, * from lake),
+topical as (
+  select distinct r from (select r, unnest({_CUT.format("coalesce(topic_text, '')")}) as word from numbered) join dictionary using (word)),
+facts as (select numbered.*, topical.r is not null as has_topics from numbered left join topical using (r))"""
+
+
+def _extract_lake_facts(spark, sf):
+    """Per file of the lake what does not depend on the fit of the topic model, taken from the JSON records."""
+    lines = _extract(spark, sf)
+    record = F.from_json("json", RECORD_SCHEMA)
+    r = lines.select(record.alias("r"))
+    weights = F.transform("r.topics", lambda t: t["weight"])
+    return r.select(
+        "r.path", "r.size", "r.checksum", "r.delimiter", "r.n_rows", F.array_join("r.extractors", "|").alias("extractors"),
+        F.round(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w), 6).alias("total"), "r.topics_source", "r.error",
+    )
+
+
+EXTRACT_LAKE_FACTS_SQL = f"""
+with {_lake_sql(True)}
+select path, strlen(text) as size, sha256(text) as checksum, delimiter, n_rows,
+  concat_ws('|', case when delimiter is not null then 'columnar' end, case when has_topics then 'lda' end) as extractors,
+  case when has_topics then 1.0::double end as total, case when has_topics then 'own' end as topics_source,
+  case when strlen(text) = 0 then 'empty content' end as error
+from facts"""
+
+
+def _refine_lake_sources(spark, sf):
+    """Where the topics of each file of the refined lake come from; their weights sum to one."""
+    ensure_checkpoint_dir(spark)
+    model = _model(spark, sf)
+    records = extract(lake(spark, sf), model, lda_preamble=False).checkpoint()
+    weights = F.transform("topics", lambda t: t["weight"])
+    return refine(records, topic_model=model).select(
+        "path", "topics_source", F.round(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w), 6).alias("total"), F.size("tags").alias("n_tags")
+    )
+
+
+REFINE_LAKE_SOURCES_SQL = f"""
+with {_lake_sql(False)}
+select path, case when has_topics then 'own' else 'neighbours' end as topics_source, 1.0::double as total, 10 as n_tags
+from facts"""
+
+
+def _column_name_counts(spark, sf):
+    """Per hold-out of the name forest: its size, and whether all predictions are known names with a share of the votes."""
+    predictions = train.name_holdout_predictions(_checkpointed_columns(spark, sf), "id")
+    known = F.col("predicted_name").isin([n.lower() for n in (*NAMES, *ITEM_NAMES)])
+    certain = (F.col("certainty") > 0) & (F.col("certainty") <= 1)
+    return predictions.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(known).alias("known"), F.bool_and(certain).alias("certain")
+    )
+
+
+COLUMN_NAME_COUNTS_SQL = f"""
+with orders_ as (select floor(o_orderkey / {KEYS_PER_TEXT}) as file_id from orders group by 1),
+items as (select floor(l_orderkey / {ORDER_KEYS_PER_TEXT}) as file_id from lineitem group by 1 having count(*) >= 7),
+n as (select (select count(*) * 3 from orders_) + (select count(*) * 4 from items) as n)
+select split::int as split, ceil(n * 0.01)::bigint as n, true as known, true as certain from n, range(5) r(split)"""
+
 SAMPLED_FILES = 7
 
 
@@ -295,4 +381,7 @@ ENTRIES = [
     Entry("projection_moments", _projection_moments, PROJECTION_SQL),
     Entry("topic_totals", _topic_totals, TOPIC_TOTALS_SQL),
     Entry("training_set", _training_set, TRAINING_SET_SQL),
+    Entry("extract_lake_facts", _extract_lake_facts, EXTRACT_LAKE_FACTS_SQL),
+    Entry("refine_lake_sources", _refine_lake_sources, REFINE_LAKE_SOURCES_SQL),
+    Entry("column_name_counts", _column_name_counts, COLUMN_NAME_COUNTS_SQL),
 ]

@@ -58,7 +58,12 @@ def training_columns(columns: DataFrame) -> DataFrame:
 
 
 def write_training_csv(columns: DataFrame, target: str) -> None:
-    training_columns(columns).write.mode("overwrite").option("header", True).csv(target)
+    write_training_rows(training_columns(columns), target)
+
+
+def write_training_rows(rows: DataFrame, target: str) -> None:
+    """Rows of `training_columns`, with or without sentinels filled in, as CSV with a header line."""
+    rows.write.mode("overwrite").option("header", True).csv(target)
 
 
 def read_training_csv(spark: SparkSession, source: str, label: str, features: Sequence[str]) -> DataFrame:
