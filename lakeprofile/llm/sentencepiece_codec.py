@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 from lakeprofile.llm.common import chunks
 
 SPACE = "▁"  # the piece character that stands for a blank
-CACHED_WORDS = 200_000  # words whose ids a task remembers; beyond that it starts anew
+CACHED_WORDS = 100_000  # words of the younger generation that a task remembers; then it becomes the older one
+CACHED_CHARS = 4_000_000  # and the characters of these words
+SLOT_BITS = 20
 CODE_POINTS = 0x110000
 
 _NONE = np.iinfo(np.int32).max  # rank of a pair that does not merge
+_SHARED = -2  # a slot with several keys
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
 def _one_by_one(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -75,6 +79,7 @@ class Codec:
         self.keys = np.array(sorted(found), dtype=np.int64)
         self.ranks = np.array([found[k][0] for k in sorted(found)], dtype=np.int32)
         self.merged = np.array([found[k][1] for k in sorted(found)], dtype=np.int32)
+        self.slots = _slot_tables(self.keys)
         # A line feed that no longer piece has is a word of its own.
         alone = "" if any("\n" in p and len(p) > 1 for p in ids) else "\n"
         self.words = re.compile(f" *[^ {alone}]+| +" + ("|\n" if alone else ""))
@@ -102,17 +107,20 @@ class Codec:
             self.words = re.compile(first + self.words.pattern)
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.word_ids = np.zeros(0, dtype=np.int32)
-        self.word_starts = np.zeros(1, dtype=np.int64)
+        self.young, self.old = _Words(), _Words()
 
     # ---- merge rounds
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of each pair; the rank is ``_NONE`` where the pair does not merge."""
         key = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
+        at = self.slots[0][_slot(key, 0)]
+        for level, table in enumerate(self.slots[1:], 1):
+            shared = np.flatnonzero(at == _SHARED)
+            if not len(shared):
+                break
+            at[shared] = table[_slot(key[shared], level)]
+        hit = (at >= 0) & (self.keys[at] == key) & (left >= 0) & (right >= 0)
         return np.where(hit, self.ranks[at], _NONE), np.where(hit, self.merged[at], -1)
 
     def _merge(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,24 +223,28 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, flat, and the offset of each text (one more than texts)."""
-        if len(self.known) > CACHED_WORDS:
-            self._forget()
+        if len(self.young.known) > CACHED_WORDS or self.young.chars > CACHED_CHARS:
+            self.young, self.old = _Words(), self.young
         index, counts = [], []
         for text in texts:
             words = self.words.findall(" " + text.replace(SPACE, " ")) if text else []
             counts.append(len(words))
             index += words
-        new = list(dict.fromkeys(w for w in index if w not in self.known))
+        young, old = self.young, self.old
+        new = [w for w in dict.fromkeys(index) if w not in young.known]
+        again = [w for w in new if w in old.known]  # words of the older generation are carried over, not merged again
+        if again:
+            at = np.fromiter(map(old.known.__getitem__, again), dtype=np.int64, count=len(again))
+            per = old.starts[at + 1] - old.starts[at]
+            young.add(again, gathered(old.ids, old.starts[at], per), per)
+            new = [w for w in new if w not in old.known]
         if new:
-            ids, per = self._encode_words(new)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.word_ids = np.concatenate((self.word_ids, ids.astype(np.int32)))
-            self.word_starts = np.concatenate((self.word_starts, self.word_starts[-1] + np.cumsum(per)))
-        at = np.fromiter(map(self.known.__getitem__, index), dtype=np.int64, count=len(index))
-        starts, sizes = self.word_starts[at], self.word_starts[at + 1] - self.word_starts[at]
+            young.add(new, *self._encode_words(new))
+        at = np.fromiter(map(young.known.__getitem__, index), dtype=np.int64, count=len(index))
+        starts, sizes = young.starts[at], young.starts[at + 1] - young.starts[at]
         offsets = np.concatenate(([0], np.cumsum(sizes)))
         per_text = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-        return gathered(self.word_ids, starts, sizes), offsets[per_text]
+        return gathered(young.ids, starts, sizes), offsets[per_text]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The text of each run of ids: pieces joined, blanks restored, the blank in front taken off."""
@@ -244,6 +256,41 @@ class Codec:
         return [data[a + x : b].decode("utf-8", "each-byte") for a, b, x in zip(bounds, bounds[1:], leads.tolist())]
 
 
+class _Words:
+    """Words and their ids, flat; ``starts`` has one more entry than there are words."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.chars = 0
+        self.ids = np.zeros(0, dtype=np.int32)
+        self.starts = np.zeros(1, dtype=np.int64)
+
+    def add(self, words: list[str], ids: np.ndarray, per: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.chars += sum(map(len, words))
+        self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(per)))
+
+
+def _slot(key: np.ndarray, level: int) -> np.ndarray:
+    """The slot of each key in the table of a level, by multiplicative hashing."""
+    spread = (key.view(np.uint64) ^ (key.view(np.uint64) >> np.uint64(29))) * _ODD[level % len(_ODD)]
+    return (spread >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _slot_tables(keys: np.ndarray) -> list[np.ndarray]:
+    """Tables from slot to the place of a key: -1 where there is none; keys that share a slot stand in the next table."""
+    tables, left = [], np.arange(len(keys))
+    while len(left) or not tables:
+        slot = _slot(keys[left], len(tables))
+        alone = np.bincount(slot, minlength=1 << SLOT_BITS) == 1
+        table = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
+        table[slot] = np.where(alone[slot], left, _SHARED)
+        tables.append(table)
+        left = left[~alone[slot]]
+    return tables
+
+
 def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The slices ``values[start : start + size]`` one behind the other."""
     ends = np.cumsum(sizes)
