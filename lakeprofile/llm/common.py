@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeprofile.session import ensure_checkpoint_dir
 
-CHUNK_CHARS = 1 << 20  # characters that a task works on at once
+CHUNK_CHARS = 1 << 18  # characters that a task works on at once
+
+
+def settle() -> None:
+    """Hands memory that is free again back to the machine; an executor's Python workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without this call keeps what it has
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def chunks(texts: Iterable[str | None], limit: int = CHUNK_CHARS) -> Iterator[list[str]]:
-    """Runs of consecutive texts with about ``limit`` characters; a longer text makes a run of its own."""
+    """Runs of consecutive texts with about ``limit`` characters; a longer text makes a run of its own.
+
+    Behind the last run, so once per batch, free memory goes back to the machine.
+    """
     run, held = [], 0
     for text in texts:
         text = text or ""
@@ -25,6 +38,8 @@ def chunks(texts: Iterable[str | None], limit: int = CHUNK_CHARS) -> Iterator[li
         held += len(text)
     if run:
         yield run
+        run = []
+    settle()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

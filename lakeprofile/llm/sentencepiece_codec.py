@@ -17,6 +17,7 @@ from lakeprofile.llm.common import chunks
 SPACE = "▁"  # the piece character that stands for a blank
 CACHED_WORDS = 100_000  # words of the younger generation that a task remembers; then it becomes the older one
 CACHED_CHARS = 4_000_000  # and the characters of these words
+RUN_CHARS = 1 << 19  # of texts that are encoded at once
 SLOT_BITS = 20
 CODE_POINTS = 0x110000
 
@@ -312,7 +313,7 @@ def encoder(model_file: str):
     def encode(texts: pa.Array) -> pa.Array:
         model = codec(model_file)
         ids, sizes = [np.zeros(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)]
-        for run in chunks(texts.to_pylist()):
+        for run in chunks((t.as_py() for t in texts), RUN_CHARS):
             found, offsets = model.encode(run)
             ids.append(found)
             sizes.append(np.diff(offsets))
