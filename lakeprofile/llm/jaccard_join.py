@@ -292,17 +292,17 @@ def _all_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
 
 def linked_sets(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     """sid and comp of every set that has a link to another set; comp is the smallest sid of its component."""
-    first_of = [F.first(c).alias(c) for c in ("prefix", "bits")]
-    sets = signed.where("n > 0").groupBy("sid", "n").agg(F.min("id").alias("id"), *first_of)
-    postings = sets.select(
-        "sid", "n", "id", "bits", F.size("prefix").alias("length"), F.posexplode("prefix").alias("i", "token")
-    )
+    full = signed.where("n > 0")
+    postings = full.groupBy("sid").agg(F.first("prefix").alias("prefix")).select("sid", F.posexplode("prefix").alias("i", "token"))
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("token")
     kept = postings.join(shared, "token")  # tokens of one set only link nothing
 
-    # Collapse: sets with the same remaining prefix and size are one group, named by its smallest member.
+    # Collapse: sets with the same remaining prefix and size are one group, named by its smallest member. Postings are
+    # many, so they carry nothing but the set, the place and the token; what else is known of a set joins it afterwards.
     in_order = F.array_sort(F.collect_list(F.struct((F.col("i") + 1).alias("i"), "token")))
-    remaining = kept.groupBy("sid", "n", "id", "bits", "length").agg(in_order.alias("kept"))
+    first_of = [F.first(c).alias(c) for c in ("n", "bits")]
+    facts = full.groupBy("sid").agg(F.min("id").alias("id"), *first_of, F.first(F.size("prefix")).alias("length"))
+    remaining = kept.groupBy("sid").agg(in_order.alias("kept")).join(facts, "sid")
     entries = F.transform("kept", lambda e, s: F.struct(e["token"].cast("string").alias("list"), e["i"].alias("i"), s.alias("s")))
     remaining = remaining.select(
         "sid", "n", "id", "bits", entries.alias("entries"), F.transform("kept", lambda e: e["token"]).alias("tokens"),
