@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from html import unescape
@@ -14,10 +15,11 @@ from pyspark.sql import functions as F
 from lakeprofile.llm.common import free_names, stored
 
 BROADCAST_HOSTS = 50_000  # hosts, largest first, whose paths are broadcast
-PATH_CHARS = 400  # longer paths keep their last steps
-CANDIDATES = 3  # containers per page that get votes
+PATH_CHARS = 400  # longer paths go on from a digest of all their steps
 DECAY = 0.6  # share of a block's score that the next container above gets
 SEMANTIC = 1.5  # factor of article and main
+DOUBTFUL = 0.5  # factor of text that stands under a class word and stays
+TOP_SHARE = 0.2  # share of the best container's text from which text right below the body belongs to it
 
 # Elements and words of the HTML vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,12 +31,21 @@ BLOCKS = CONTAINERS | frozenset(
 DOUBTED = frozenset("form fieldset".split())  # may be wrapped around a whole page
 DROPPED = frozenset("nav footer aside form menu dialog button select fieldset label input search header head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
-    "breadcrumb breadcrumbs sidebar aside widget footer masthead topbar comment comments reply replies respond disqus "
-    "discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
-    "signup login share sharing social related recommended recommendations toolbar pagination pager skip copyright".split()
+# Words that name what is left out, words that may also name a topic, and words that say nothing of either kind.
+SURE = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu "
+    "breadcrumb breadcrumbs sidebar aside footer topbar comment comments disqus cookie cookies consent gdpr notice notices "
+    "alert popup modal overlay newsletter subscribe signup login pagination pager".split()
 )
+UNSURE = frozenset(
+    "discussion reply replies respond share sharing social related recommended recommendations promotion subscription "
+    "masthead toolbar widget skip copyright".split()
+)
+FILLER = frozenset(
+    "area article bar block body bottom box button buttons container footnote form global has header inner item items left "
+    "link links list outer page post primary reader readers right secondary section site slot text top unit user wrap wrapper".split()
+)
+GROUPS = CONTAINERS | frozenset("ul ol dl table aside nav header footer details dialog figure".split())
 CLOSES_P = BLOCKS - {"br", "option"}
 CLOSES_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
@@ -59,11 +70,19 @@ class Element(NamedTuple):
     inside: bool  # in an article or main
 
 
+class Block(NamedTuple):
+    container: int
+    text: str
+    links: int  # characters in links
+    heading: bool
+    doubted: bool  # stands under a class word
+
+
 class Page(NamedTuple):
-    """Containers as (path, place of the one above, dropped), and text blocks as (container, text, characters in links)."""
+    """Containers as (path, place of the one above, tag), and text blocks."""
 
-    containers: list[tuple[str, int, bool, str]]
-    blocks: list[tuple[int, str, int]]
+    containers: list[tuple[str, int, str]]
+    blocks: list[Block]
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -81,16 +100,31 @@ def _is_dropped(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     return "display:none" in attributes.get("style", "").replace(" ", "")
 
 
-def _is_marked(tag: str, attributes: dict[str, str]) -> bool:
-    """Whether class, id or a form suggest that an element is no main text; `_left_out` judges it by what it holds."""
+LINKED, PARTLY, WHOLLY = 1, 2, 3  # how much a mark says
+
+
+def _mark(tag: str, attributes: dict[str, str], inside: bool) -> int:
+    """What class, id or a form suggest of an element; `_left_out` judges it by what it holds. 0: nothing.
+
+    ``WHOLLY``: a name that says nothing else, such as ``cookie-notice``. ``PARTLY``: such a word among others, on a group
+    of blocks outside article and main. ``LINKED``: all other cases, such as ``share-price``, where links have to confirm it.
+    """
     if tag in DOUBTED:
-        return True
+        return WHOLLY
     if not attributes or tag in ("html", "body"):
-        return False
-    names = [attributes.get("class", ""), attributes.get("id", "")]
+        return 0
+    names = [*attributes.get("class", "").split(), *attributes.get("id", "").split()]
     if tag in ("article", "main"):
-        return any(n.lower() in ("comment", "comments", "ad", "advert") for n in " ".join(names).split())
-    return any(w.lower() in WORDS for n in names for w in _NAMES.findall(n))
+        return WHOLLY if any(n.lower() in ("comment", "comments", "ad", "advert") for n in names) else 0
+    found = 0
+    for name in names:
+        words = {w.lower() for w in _NAMES.findall(name)}
+        if words & SURE:
+            own = WHOLLY if words <= SURE | UNSURE | FILLER else PARTLY if tag in GROUPS and not inside else LINKED
+        else:
+            own = LINKED if words & UNSURE else 0
+        found = max(found, own)
+    return found
 
 
 def _is_heart(tag: str, attributes: dict[str, str]) -> bool:
@@ -98,16 +132,17 @@ def _is_heart(tag: str, attributes: dict[str, str]) -> bool:
     if tag in ("main", "h1"):
         return True
     first = _NAMES.match(attributes.get("class", "").strip()) if tag == "article" else None
-    return tag == "article" and (first is None or first[0].lower() not in WORDS)
+    return tag == "article" and (first is None or first[0].lower() not in SURE | UNSURE)
 
 
-def _left_out(marks: list[int], hearts: set[int], pieces: Iterable[tuple[int, str, int]]) -> list[bool]:
-    """For each mark, given by the mark around it, whether its text is left out.
+def _left_out(marks: list[tuple[int, int]], hearts: set[int], pieces: Iterable[tuple[int, str, int]]) -> list[bool]:
+    """For each mark, given as (mark around it, what it says), whether its text is left out.
 
-    It is not if an article, main or h1 stands in it, or most of the text outside links: then scores and votes decide.
+    It is not if an article, main or h1 stands in it, or most of the text outside links (a third under a name that says
+    other things too), or if links had to confirm it and are less than half of its text: then scores and votes decide.
     Where that leaves nothing of a page, no mark counts.
     """
-    weights = [0] * len(marks)
+    weights, linked = [0] * len(marks), [0] * len(marks)
     holds = [k in hearts for k in range(len(marks))]
     seen = set()
     total = 0
@@ -117,15 +152,19 @@ def _left_out(marks: list[int], hearts: set[int], pieces: Iterable[tuple[int, st
             seen.add(mark)
         if not links:
             total += size
-            if mark >= 0:
-                weights[mark] += size
+        if mark >= 0:
+            (linked if links else weights)[mark] += size
     for k in range(len(marks) - 1, -1, -1):
-        if marks[k] >= 0:
-            weights[marks[k]] += weights[k]
-            holds[marks[k]] |= holds[k]
+        above = marks[k][0]
+        if above >= 0:
+            weights[above] += weights[k]
+            linked[above] += linked[k]
+            holds[above] |= holds[k]
     out: list[bool] = []
-    for k, above in enumerate(marks):
-        out.append((above >= 0 and out[above]) or not (holds[k] or 2 * weights[k] > total))
+    for k, (above, says) in enumerate(marks):
+        large = (3 if says == PARTLY else 2) * weights[k] > total
+        stays = holds[k] or large or (says == LINKED and linked[k] <= weights[k])
+        out.append((above >= 0 and out[above]) or not stays)
     if all(mark >= 0 and out[mark] for mark in seen):
         return [False] * len(marks)
     return out
@@ -133,9 +172,9 @@ def _left_out(marks: list[int], hearts: set[int], pieces: Iterable[tuple[int, st
 
 def parsed(html: str) -> Page:
     """The text blocks of a page and the containers that they stand in. Broken markup is read as browsers would."""
-    containers: list[tuple[str, int, bool, str, int]] = [("", -1, False, "", -1)]
-    runs: list[tuple[int, list[tuple[int, str, int]]]] = []  # container and pieces (mark, text, characters in links)
-    marks: list[int] = []
+    containers: list[tuple[str, int, str]] = [("", -1, "")]
+    runs: list[tuple[int, bool, list[tuple[int, str, int]]]] = []  # container, heading, pieces (mark, text, characters in links)
+    marks: list[tuple[int, int]] = []
     hearts: set[int] = set()
     stack = [Element("", "", 0, False, -1, False)]
     opened: dict[str, int] = {}
@@ -144,7 +183,8 @@ def parsed(html: str) -> Page:
 
     def flush() -> None:
         if pieces:
-            runs.append((stack[-1].container, pieces.copy()))
+            heading = bool(opened.get("h1") or opened.get("h2"))
+            runs.append((stack[-1].container, heading, pieces.copy()))
             pieces.clear()
 
     def say(text: str) -> None:
@@ -177,8 +217,9 @@ def parsed(html: str) -> Page:
         attributes = _attributes(raw)
         dropped = top.dropped or _is_dropped(tag, attributes, top.inside)
         mark = top.mark
-        if not dropped and _is_marked(tag, attributes):
-            marks.append(mark)
+        says = 0 if dropped else _mark(tag, attributes, top.inside)
+        if says:
+            marks.append((mark, says))
             mark = len(marks) - 1
         elif not dropped and mark >= 0 and _is_heart(tag, attributes):
             hearts.add(mark)
@@ -186,8 +227,10 @@ def parsed(html: str) -> Page:
         if tag in CONTAINERS:
             name = attributes.get("class", "").split()
             step = tag + ("." + _DIGITS.sub("N", name[0]) if name else "")
-            path = f"{path}/{step}"[-PATH_CHARS:]
-            containers.append((path, container, dropped, tag, mark))
+            path = f"{path}/{step}"
+            if len(path) > PATH_CHARS:
+                path = "#" + hashlib.md5(path.encode("utf-8", "surrogatepass")).hexdigest()
+            containers.append((path, container, tag))
             container = len(containers) - 1
         stack.append(Element(tag, path, container, dropped, mark, top.inside or tag in ("article", "main")))
         opened[tag] = opened.get(tag, 0) + 1
@@ -208,27 +251,76 @@ def parsed(html: str) -> Page:
             flush()
     say(html[at:])
     flush()
-    out = _left_out(marks, hearts, (p for _, run in runs for p in run)) if marks else []
-    blocks: list[tuple[int, str, int]] = []
-    for container, run in runs:
+    out = _left_out(marks, hearts, (p for _, _, run in runs for p in run)) if marks else []
+    blocks: list[Block] = []
+    for container, heading, run in runs:
         if out:
             run = [p for p in run if p[0] < 0 or not out[p[0]]]
         text = " ".join("".join([p[1] for p in run]).split())
         if text:
-            blocks.append((container, text, sum([p[2] for p in run])))
-    return Page([(path, above, dropped or (mark >= 0 and out[mark]), tag) for path, above, dropped, tag, mark in containers], blocks)
+            blocks.append(Block(container, text, sum([p[2] for p in run]), heading, any([p[0] >= 0 for p in run])))
+    return Page(containers, blocks)
+
+
+def whole_articles(page: Page) -> list[int]:
+    """For each container the one that holds the whole article if the container holds most of it.
+
+    In an article that is the outermost one; in a main without articles that is the main. Elsewhere, and from an article
+    to what it stands in, a container gives way to the one above if that holds further text of the same kind: blocks of
+    its own, or sections beside a section, and not more text of other kinds. Right below the body a heading or a fair
+    share of text is asked for. Containers on the same path need no common one, as they are elected together.
+    """
+    size = len(page.containers)
+    direct, below, headed = [0] * size, [0] * size, [False] * size
+    for block in page.blocks:
+        value = max(len(block.text) - 2 * block.links, 0)
+        direct[block.container] += value
+        below[block.container] += value
+        headed[block.container] |= block.heading
+    has_article = [tag == "article" for _, _, tag in page.containers]
+    sections: dict[int, int] = {}
+    alike: dict[tuple[int, str], int] = {}
+    for c in range(size - 1, 0, -1):
+        path, above, tag = page.containers[c]
+        below[above] += below[c]
+        has_article[above] |= has_article[c]
+        alike[above, path] = alike.get((above, path), 0) + below[c]
+        if tag == "section":
+            sections[above] = sections.get(above, 0) + below[c]
+    target, in_article, in_main = [0] * size, [False] * size, [False] * size
+    for c in range(1, size):
+        path, above, tag = page.containers[c]
+        in_article[c], in_main[c] = in_article[above] or tag == "article", in_main[above] or tag == "main"
+        same = alike[above, path]
+        own = direct[above]
+        if page.containers[above][2] in ("", "html", "body") and not headed[above] and own < TOP_SHARE * below[c]:
+            own = 0
+        like = own + (sections[above] - same if tag == "section" else 0)
+        unlike = below[above] - same - like
+        climbs = in_article[above] or (in_main[above] and not has_article[c]) or (like > 0 and like >= unlike)
+        target[c] = target[above] if climbs and tag != "body" else c
+    return target
 
 
 def candidates(page: Page) -> list[tuple[str, float]]:
-    """The best containers of a page with their scores: text outside links, passed up with a decay."""
+    """The paths of a page's articles with their scores, best first.
+
+    A container scores by its text outside links, passed up with a decay, and gives its score to the container of the
+    whole article; of several on one path the best counts.
+    """
     scores: dict[int, float] = {}
-    for container, text, links in page.blocks:
-        value = max(len(text) - 2 * links, 0) + min(text.count(","), 10)
+    for container, text, links, _, doubted in page.blocks:
+        value = (max(len(text) - 2 * links, 0) + min(text.count(","), 10)) * (DOUBTFUL if doubted else 1)
         while container > 0 and value >= 1:
-            scores[container] = scores.get(container, 0.0) + value * (SEMANTIC if page.containers[container][3] in ("article", "main") else 1)
-            container, value = page.containers[container][1], value * DECAY
-    best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:CANDIDATES]
-    return [(page.containers[c][0], s) for c, s in best]
+            _, above, tag = page.containers[container]
+            scores[container] = scores.get(container, 0.0) + value * (SEMANTIC if tag in ("article", "main") else 1)
+            container, value = above, value * DECAY
+    whole = whole_articles(page)
+    paths: dict[str, tuple[float, int]] = {}
+    for container, score in scores.items():
+        path = page.containers[whole[container]][0]
+        paths[path] = max(paths.get(path, (0.0, 0)), (score, -container))
+    return [(path, score) for path, (score, _) in sorted(paths.items(), key=lambda x: (-x[1][0], -x[1][1]))]
 
 
 def text_below(page: Page, path: str | None) -> str | None:
@@ -236,9 +328,9 @@ def text_below(page: Page, path: str | None) -> str | None:
     if path is None:
         return None
     inside = [False] * len(page.containers)
-    for i, (own, above, _, _) in enumerate(page.containers):
+    for i, (own, above, _) in enumerate(page.containers):
         inside[i] = own == path or (above >= 0 and inside[above])
-    lines = [text for container, text, _ in page.blocks if inside[container]]
+    lines = [block.text for block in page.blocks if inside[block.container]]
     return "\n".join(lines) if lines else None
 
 
@@ -251,13 +343,13 @@ def extracted(html: str | None, path: str | None) -> str:
     if text is None:
         own = candidates(page)
         text = text_below(page, own[0][0]) if own else None
-    return text if text is not None else "\n".join(t for _, t, _ in page.blocks)
+    return text if text is not None else "\n".join(block.text for block in page.blocks)
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The winning path of each host: columns host, path, votes, pages.
 
-    Each page gives its best containers' scores, as shares of its best one, to their paths. Votes are added in the
+    Each page gives its scores, as shares of its best one, to the paths of its containers. Votes are added in the
     tasks before they are shuffled, so a host with most of the pages is no larger a group than any other.
     """
 
