@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 import re
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -11,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeprofile.llm.common import chunks, free_names
+from lakeprofile.llm.common import chunks, free_names, light, shared_folder, stored
 
 WINDOW = 13  # words of a window
 SHARE = 20  # a document is contaminated when one word in so many is hit
-WINDOWS_PER_BLOCK = 2_000_000  # windows that one broadcast holds; a larger benchmark is scanned in several blocks
+WINDOWS_PER_BLOCK = 500_000  # windows that one broadcast holds; a larger benchmark is scanned in several blocks
+BLOCK_BYTES = 1 << 26  # of window texts in a block
+HIT_ROWS = 100_000  # documents with hits whose scans are broadcast
 SPLIT_BYTES = 1 << 22
 
 SCAN_TYPE = "n_words bigint, hits array<struct<start:int,end:int>>, items array<string>"
@@ -114,23 +119,31 @@ class WindowSet(NamedTuple):
         return [(n, r, sorted(f)) for n, r, f in zip(counts, runs, found)]
 
 
-def benchmark_blocks(benchmark: DataFrame, text_col: str, id_col: str, window: int, per_block: int) -> list[WindowSet]:
-    """The windows of all items, cut into sets of ``per_block`` windows at most (items stay together).
+def benchmark_windows(benchmark: DataFrame, text_col: str, id_col: str, window: int) -> DataFrame:
+    """The different windows of each item: columns item and window (words in normal form, joined by blanks)."""
 
-    The benchmark comes to the driver item by item, never as a whole.
-    """
-    blocks: list[WindowSet] = []
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("item", pa.string()), ("window", pa.binary())])
+        for batch in batches:
+            for item, text in zip(batch["item"], batch["text"]):
+                words = words_of(text.as_py())
+                size = min(window, len(words))
+                places = range(len(words) - size + 1 if words else 0)
+                for first in range(0, len(places), 1 << 14):
+                    held = {b" ".join(words[at : at + size]) for at in places[first : first + (1 << 14)]}
+                    yield pa.RecordBatch.from_pydict({"item": [item.as_py()] * len(held), "window": list(held)}, schema=kind)
+
+    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    return rows.where("item is not null and text is not null").mapInArrow(cut, "item string, window binary").distinct()
+
+
+def window_set(windows: DataFrame) -> WindowSet:
+    """One block of windows on the driver; its size is bounded by the caller."""
     held: dict[tuple[bytes, ...], set[str]] = {}
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    for row in rows.where("i is not null and t is not null").toLocalIterator():
-        words = words_of(row["t"])
-        size = min(window, len(words))
-        for at in range(len(words) - size + 1 if words else 0):
-            held.setdefault(tuple(words[at : at + size]), set()).add(row["i"])
-        if len(held) >= per_block:
-            blocks.append(WindowSet.build(held))
-            held = {}
-    return [*blocks, WindowSet.build(held)] if held or not blocks else blocks
+    for batch in windows.select("item", "window").toArrow().to_batches():
+        for item, window in zip(batch["item"], batch["window"]):
+            held.setdefault(tuple(window.as_py().split(b" ")), set()).add(item.as_py())
+    return WindowSet.build(held)
 
 
 def _scanner(broadcast):
@@ -168,40 +181,65 @@ def scan_documents(
     words; items without id or text are passed over; repeated items and rows are each worked on as they are; with an
     empty benchmark nothing is hit. Rows are neither moved nor dropped and no other column is touched.
 
-    A broadcast holds at most ``windows_per_block`` windows plus those of one item. A benchmark with more is scanned
-    in blocks, each over all documents, and the hits of the blocks are united.
+    Windows are made and stored by Spark. Up to ``windows_per_block`` of them are broadcast. A larger benchmark is dealt
+    into blocks of about that size by a hash of window and item, so that a window of many items is dealt too. One
+    block after the other comes to the driver, is broadcast, scanned for over all documents and released; only documents
+    with hits leave a row, and the rows of a document are united.
     """
     spark = docs.sparkSession
-    blocks = benchmark_blocks(benchmark, item_text, item_id, window, windows_per_block)
-    scans = [_scanner(spark.sparkContext.broadcast(b))(F.col(text_col)) for b in blocks]
-    return docs.withColumn(out_col, scans[0] if len(scans) == 1 else _united(scans))
+    windows = stored(benchmark_windows(benchmark, item_text, item_id, window), "windows")
+    n_windows, size = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("window")), F.lit(0))).first()
+    n_blocks = max(math.ceil(n_windows / windows_per_block), math.ceil(size / BLOCK_BYTES), 1)
+    if n_blocks == 1:
+        return docs.withColumn(out_col, _scanner(spark.sparkContext.broadcast(window_set(windows)))(F.col(text_col)))
+    folder = shared_folder(spark, "blocks")
+    block = F.pmod(F.xxhash64("window", "item"), F.lit(n_blocks)).cast("int")
+    windows.withColumn("block", block).write.partitionBy("block").parquet(folder)
+    dealt = spark.read.schema("item string, window binary, block int").parquet(folder)
+
+    row, n_words, found = free_names(docs, "row", "n_words", "found")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(n_words, _word_count(F.col(text_col)))
+    numbered = stored(numbered, "documents")
+    passes = []
+    for b in range(n_blocks):
+        held = spark.sparkContext.broadcast(window_set(dealt.where(F.col("block") == b)))
+        scanned = numbered.select(row, _scanner(held)(F.col(text_col)).alias(found)).where(F.size(F.col(found)["hits"]) > 0)
+        passes.append(stored(scanned, "hits"))
+        held.destroy()
+    hits = functools.reduce(DataFrame.unionByName, passes).groupBy(row).agg(
+        _joined(F.flatten(F.collect_list(F.col(found)["hits"]))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col(found)["items"])))).alias("items"),
+    )
+    hits = stored(hits.select(row, F.struct("hits", "items").alias(found)), "united")
+    scan = F.struct(
+        F.col(n_words).alias("n_words"),
+        F.coalesce(F.col(found)["hits"], F.array().cast("array<struct<start:int,end:int>>")).alias("hits"),
+        F.coalesce(F.col(found)["items"], F.array().cast("array<string>")).alias("items"),
+    )
+    return numbered.join(light(hits, HIT_ROWS), row, "left").withColumn(out_col, scan).drop(row, n_words, found)
 
 
-def _united(scans: list[Column]) -> Column:
-    """One scan of the scans of several blocks."""
+def _word_count(text: Column) -> Column:
     from pyspark.sql.functions import arrow_udf
 
-    @arrow_udf(SCAN_TYPE)
-    def unite(*parts: pa.Array) -> pa.Array:
-        rows = []
-        for row in zip(*(p.to_pylist() for p in parts)):
-            hits = merged([(h["start"], h["end"]) for s in row for h in s["hits"]])
-            items = sorted({i for s in row for i in s["items"]})
-            rows.append({"n_words": row[0]["n_words"], "hits": [{"start": a, "end": b} for a, b in hits], "items": items})
-        return pa.array(rows, type=parts[0].type)
-
-    return unite(*scans)
-
-
-def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted runs, those that touch or overlap joined."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    @arrow_udf("bigint")
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array([len(words_of(text)) for run in chunks(t.as_py() for t in texts) for text in run], type=pa.int64())
+
+    return count(text)
+
+
+def _joined(hits: Column) -> Column:
+    """Hit runs of several blocks as sorted runs, those that touch or overlap joined."""
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+
+    def add(runs: Column, hit: Column) -> Column:
+        last = F.try_element_at(runs, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], hit["end"]).alias("end"))
+        met = (F.size(runs) > 0) & (last["end"] >= hit["start"])
+        return F.when(met, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(hit)))
+
+    return F.aggregate(F.array_sort(hits), empty, add)
 
 
 def n_hit(scan: Column) -> Column:

@@ -69,3 +69,16 @@ def test_words_longer_than_a_split():
     block = D.WindowSet.build({(b"a",): {"i"}})
     long = "x" * (D.SPLIT_BYTES + 10)
     assert [r[0] for r in block.scan([f"a {long} a", "", "a"])] == [3, 0, 1]
+
+
+def test_blocks_of_a_window_of_many_items(spark):
+    """One passage in all items, several blocks: hits and items are united, rows and their columns stay."""
+    passage = " ".join(f"q{i}" for i in range(20))
+    bench = spark.createDataFrame([(f"i{n}", f"{passage} x{n} y{n}") for n in range(60)], "item_id string, text string")
+    rows = [(1, f"a b {passage} c", 7), (1, f"a b {passage} c", 7), (None, passage + " x5 y5", None), (3, None, 1), (4, "q1 q2", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    one, many = (D.scan_documents(df, bench, windows_per_block=n) for n in (10_000, 100))
+    assert one.columns == many.columns and one.schema["scan"].dataType.simpleString() == many.schema["scan"].dataType.simpleString()
+    key = lambda r: (str(r.doc_id), str(r.text), r.row, r.scan.n_words, tuple(map(tuple, r.scan.hits)), tuple(r.scan["items"]))
+    assert sorted(map(key, one.collect())) == sorted(map(key, many.collect()))
+    assert {len(r.scan["items"]) for r in many.collect()} == {0, 60}
