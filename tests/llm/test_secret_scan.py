@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -36,7 +37,6 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     rng = random.Random(11)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     secrets = ["".join(rng.choice(letters) for _ in range(rng.choice([24, 40, 80]))) for _ in range(150)]
-    secrets = [s for s in secrets if re.search("[0-9]", s) and re.search("[A-Za-z]", s)]
     plain = ["aaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "abcdefghijklmnopqrstuvwxyz0123456789", "000000000000000000000000000000000000a"]
     rows = [(i, f"see {t} here") for i, t in enumerate(secrets + plain * 20)]
     out = {r.doc_id: r.spans for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -56,3 +56,46 @@ def test_p_values_are_spread_under_randomness(spark):
 
 def test_empty_table(spark):
     assert S.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+LETTERS = ALPHABETS[1] + ALPHABETS[2]
+ALPHABETS += [LETTERS, LETTERS + ALPHABETS[0], LETTERS + ALPHABETS[0] + "-_", ALPHABETS[1] + ALPHABETS[0]]
+NAMES = "customer order item total user account service manager factory request handler payment history status shipping address".split()
+NAMES += "invoice product category stock price report daily weekly config reader writer session cache index table column".split()
+
+
+def test_recall_of_all_alphabets_among_ordinary_names(spark):
+    """Planted tokens of one and more character classes among as many ordinary names: recall, and what a user reads."""
+    rng = random.Random(23)
+    secrets = ["".join(rng.choice(a) for _ in range(rng.choice([20, 24, 32, 40, 64]))) for a in ALPHABETS for _ in range(120)]
+    camel, snake, joined = [], [], []
+    while len(camel) < 500:
+        parts = rng.sample(NAMES, 4)
+        camel += [x for x in ["".join(p.title() for p in parts) + str(rng.randint(1, 99))] if len(x) >= 20]
+        snake += ["_".join(parts) + f"_{rng.randint(1, 99)}"]
+        joined += ["".join(parts)]
+    kinds = [secrets, camel, snake, joined]
+    rows = [(i, f"see {t} here", k) for i, (k, t) in enumerate((k, t) for k, kind in enumerate(kinds) for t in kind)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    out = {r.doc_id: r.n for r in S.scan(df).select("doc_id", S.F.size(S.F.filter("spans", lambda s: s["kind"] >= 2)).alias("n")).collect()}
+    share = [sum(out[i] > 0 for i, _, k in rows if k == kind) / len(kinds[kind]) for kind in range(4)]
+    by_alphabet = [sum(out[120 * a + i] > 0 for i in range(120)) / 120 for a in range(len(ALPHABETS))]
+    assert share[0] >= 0.9 and min(by_alphabet) >= 0.85, (share, by_alphabet)
+    assert max(share[1:]) <= 0.1, share
+    reported = [sum(out[i] > 0 for i, _, k in rows if k == kind) for kind in range(4)]
+    assert sum(reported[1:]) <= 1.5 * S.FALSE_DISCOVERIES * sum(reported), reported  # what is controlled is an estimate
+
+
+def test_limits_by_hand(spark):
+    """Even p-values and a lump of ordinary tokens: the cut leaves the lump out where recall allows it, and says so if not."""
+    rows = [(0, int(-100 * math.log10((i + 0.5) / 1000))) for i in range(1000)]  # random tokens only
+    rows += [(1, s) for _, s in rows] + [(1, 400)] * 3000  # ordinary ones at p = 0.0001
+    rows += [(2, s) for c, s in rows if c == 0] + [(2, 100)] * 1000  # ordinary ones at p = 0.1
+    rows += [(3, 900)] * 50  # ordinary ones only
+    out = {r["class"]: r for r in S.limits(spark.createDataFrame(rows, "class int, step int")).collect()}
+    floor = math.floor(-100 * math.log10(1 - S.LEAST_RECALL))
+    assert out[0].limit > 250 and out[0].ordinary < 0.02
+    assert floor < out[1].limit <= 400 and out[1].ordinary <= S.FALSE_DISCOVERIES and 900 < out[1].reported <= 1000
+    assert out[2].limit == floor and 0.45 < out[2].ordinary < 0.55
+    assert out[3].limit == floor and out[3].reported == 0
