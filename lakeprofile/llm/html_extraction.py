@@ -42,7 +42,7 @@ UNSURE = frozenset(
     "masthead toolbar widget skip copyright".split()
 )
 FILLER = frozenset(
-    "area article bar block body bottom box button buttons container footnote form global has header inner item items left "
+    "area article bar block body bottom box button buttons container form global has header inner item items left "
     "link links list outer page post primary reader readers right secondary section site slot text top unit user wrap wrapper".split()
 )
 GROUPS = CONTAINERS | frozenset("ul ol dl table aside nav header footer details dialog figure".split())
