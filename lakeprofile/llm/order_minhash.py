@@ -20,6 +20,8 @@ PIECE_CHARS = 4  # characters of a piece; one begins at each character
 # Fixed value: scripts that put no blanks between words.
 UNSPACED = "[" + "".join(rf"\p{{Is{s}}}" for s in "Han Hiragana Katakana Thai Lao Khmer Myanmar Tibetan".split()) + "]"
 
+PROBES = 16  # other halves that an empty one looks at in its own order before it takes the first filled one
+
 _POS_BITS = 32
 _KEY = ["k", "h"]
 
@@ -61,16 +63,54 @@ def kmers(text: Column, k: int = K) -> Column:
     return F.when(F.btrim(text, F.lit(BLANKS)) != "", runs)
 
 
-def _tuple_hash(first: str, second: str) -> Column:
-    """Hash of two chosen k-mers in text order; of the only one; null if there is none."""
-    a, b = F.col(first), F.col(second)
+def probe(place: Column, attempt: Column, tuples: int) -> Column:
+    """The half (2 x tuple + half) that an empty one looks at in its so-many-th attempt."""
+    return F.pmod(F.hash(place, attempt), F.lit(2 * tuples))
+
+
+def _tuple_hashes(slots: Column, tuples: int) -> Column:
+    """One hash per tuple from the k-mers that stand in its two halves, given as one array (2 x tuple + half).
+
+    An empty half borrows the k-mer of another half: the first filled one of its probes, else the first filled of all. If
+    that is the k-mer of its partner it takes the next filled one after it. So every tuple has two k-mers if the
+    text has two, and their order in the text counts; a text of one k-mer has that one in all tuples.
+    """
     prio = lambda c: F.shiftright(c, _POS_BITS)
     pos = lambda c: c.bitwiseAND((1 << _POS_BITS) - 1)
-    in_order = F.when(pos(a) <= pos(b), F.hash(prio(a), F.lit(0), prio(b), F.lit(1))).otherwise(
-        F.hash(prio(b), F.lit(1), prio(a), F.lit(0))
+
+    def at(all_slots: Column, filled: Column, place: Column) -> Column:
+        tries = [F.get(all_slots, probe(place, F.lit(attempt), tuples)) for attempt in range(PROBES)]
+        return F.coalesce(F.get(all_slots, place), *tries, F.get(filled, F.lit(0)))
+
+    def after(filled: Column, kmer: Column) -> Column:
+        return F.get(filled, F.pmod(F.array_position(filled, kmer).cast("int"), F.size(filled)))
+
+    def in_order(a: Column, b: Column) -> Column:
+        return (
+            F.when(a == b, F.hash(prio(a), F.lit(0)))
+            .when(pos(a) <= pos(b), F.hash(prio(a), F.lit(0), prio(b), F.lit(1)))
+            .otherwise(F.hash(prio(b), F.lit(1), prio(a), F.lit(0)))
+        )
+
+    def hashed(all_slots: Column, filled: Column, t: Column) -> Column:
+        pair = F.array(F.struct(at(all_slots, filled, 2 * t).alias("a"), at(all_slots, filled, 2 * t + 1).alias("b")))
+        # A half of its own keeps its k-mer; the borrowed one gives way.
+        own = F.get(all_slots, 2 * t + 1).isNotNull()
+        return F.transform(
+            pair,
+            lambda p: F.when(p["a"] != p["b"], in_order(p["a"], p["b"]))
+            .when(own, in_order(after(filled, p["b"]), p["b"]))
+            .otherwise(in_order(p["a"], after(filled, p["a"]))),
+        )[0]
+
+    whole = F.transform(
+        F.array(F.struct(slots.alias("s"), F.array_compact(slots).alias("f"))),
+        lambda x: F.transform(
+            F.sequence(F.lit(0), F.lit(tuples - 1)),
+            lambda t: F.when(F.size(x["f"]) > 0, hashed(x["s"], x["f"], t)),
+        ),
     )
-    single = F.when(a.isNotNull(), F.hash(prio(a), F.lit(0))).when(b.isNotNull(), F.hash(prio(b), F.lit(1)))
-    return F.when(a.isNotNull() & b.isNotNull(), in_order).otherwise(single)
+    return whole[0]
 
 
 def fingerprint_pairs(texts: DataFrame, tuples: int = TUPLES) -> DataFrame:
@@ -78,11 +118,12 @@ def fingerprint_pairs(texts: DataFrame, tuples: int = TUPLES) -> DataFrame:
 
     ``texts`` has the key columns k and h (unique, and the table is partitioned by them), left, right, and ``note``,
     a string that is handed through. Returns k, h, note, left_print and right_print (arrays of ``tuples`` integers,
-    null where a tuple is empty) and likeness.
+    all null for a text without words) and likeness.
 
     Each k-mer is numbered among its equals in its text. A hash of k-mer and number names a tuple, one of its two
     halves, and a priority; the k-mer of least priority stands for the half, and the two of a tuple are hashed in the
-    order in which they stand in the text. All grouping is by the key first, so nothing is moved.
+    order in which they stand in the text; empty halves borrow (`_tuple_hashes`). All grouping is by the key first, so
+    nothing is moved.
     """
     sides = F.array(F.col("left"), F.col("right"))
     rows = texts.select(*_KEY, "note", F.posexplode(sides).alias("side", "text"))
@@ -109,25 +150,22 @@ def fingerprint_pairs(texts: DataFrame, tuples: int = TUPLES) -> DataFrame:
     again = [F.min(f"m{s}{p}").alias(f"m{s}{p}") for s in (0, 1) for p in (0, 1)]
     notes = F.max("note").alias("note")
     chosen = chosen.groupBy(*_KEY, "tuple").agg(*again, notes)
-    hashed = chosen.select(*_KEY, "tuple", "note", _tuple_hash("m00", "m01").alias("a"), _tuple_hash("m10", "m11").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    entry = F.struct("tuple", "a", "b")
-    gathered = hashed.groupBy(*_KEY).agg(
-        F.max("note").alias("note"),
-        F.count(F.when(a == b, 1)).alias("equal"),
-        F.count(F.when(a.isNotNull() | b.isNotNull(), 1)).alias("used"),
-        F.collect_list(F.when(F.col("tuple").isNotNull(), entry)).alias("entries"),
+    entry = F.struct("tuple", "m00", "m01", "m10", "m11")
+    gathered = chosen.groupBy(*_KEY).agg(
+        F.max("note").alias("note"), F.collect_list(F.when(F.col("tuple").isNotNull(), entry)).alias("entries")
     )
     by_tuple = F.map_from_entries(F.transform("entries", lambda e: F.struct(e["tuple"], e)))
-    full = gathered.withColumn("of", by_tuple)
+    full = gathered.select(*_KEY, "note", by_tuple.alias("of"))
     places = F.sequence(F.lit(0), F.lit(tuples - 1))
-    return full.select(
-        *_KEY,
-        "note",
-        F.transform(places, lambda t: F.col("of")[t]["a"]).alias("left_print"),
-        F.transform(places, lambda t: F.col("of")[t]["b"]).alias("right_print"),
-        F.when(F.col("used") == 0, 1.0).otherwise(F.col("equal") / F.col("used")).alias("likeness"),
+
+    def slots(side: int) -> Column:
+        return F.flatten(F.transform(places, lambda t: F.array(*(F.col("of")[t][f"m{side}{half}"] for half in (0, 1)))))
+
+    full = full.select(*_KEY, "note", slots(0).alias("left_slots"), slots(1).alias("right_slots"))
+    full = full.select(
+        *_KEY, "note", *(_tuple_hashes(F.col(f"{name}_slots"), tuples).alias(f"{name}_print") for name in ("left", "right"))
     )
+    return full.withColumn("likeness", likeness(F.col("left_print"), F.col("right_print")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -138,7 +176,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def shown(fingerprint: Column) -> Column:
-    """The tuples as hexadecimal numbers joined by dots, ``-`` for an empty one."""
+    """The tuples as hexadecimal numbers joined by dots, ``-`` for an empty one (all of a text without words)."""
     return F.array_join(F.transform(fingerprint, lambda x: F.coalesce(F.lower(F.hex(x.cast("bigint").bitwiseAND(0xFFFFFFFF))), F.lit("-"))), ".")
 
 
