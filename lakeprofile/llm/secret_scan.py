@@ -273,7 +273,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     base = F.col("valid") & (F.col("kind") < 3)
     placed = placed.withColumn("valid", F.coalesce(valid, F.lit(False)))
     reach = F.max(F.when(base, F.col("end"))).over(by_start.rowsBetween(W.unboundedPreceding, -1))
-    behind = F.min(F.when(base, F.col("start"))).over(by_start.rowsBetween(1, W.unboundedFollowing))
+    # Read backwards, as a frame that ends with the partition is begun anew for every row.
+    by_end = W.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"), F.desc("end"))
+    behind = F.min(F.when(base, F.col("start"))).over(by_end.rowsBetween(W.unboundedPreceding, -1))
     free = (F.coalesce(reach, F.lit(0)) <= F.col("start")) & (F.coalesce(behind, F.col("end")) >= F.col("end"))
     kept = stored(
         placed.select(
