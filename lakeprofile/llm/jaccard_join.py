@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -19,9 +21,10 @@ from lakeprofile.llm.components import components
 WORDS_PER_SHINGLE = 5
 PERCENT = 80
 COUNT_BITS = 20  # word counts are kept in a table of that many bits, whatever the number of words
-FILTER_BITS = 26  # the filter of documents that are read for verification
+FILTER_BITS = (16, 30)  # least and most bits (as powers of two) of a filter; in between it has eight per key
 BROADCAST_PAIRS = 200_000  # pairs whose set ids, or documents whose keys, are broadcast
 WHOLE_LIST = 2_048  # lists up to this length are compared pair by pair, longer ones by pivots first
+BEFORE = 4  # an entry of a list carries so many shared tokens that stand before its own
 
 _SPLIT = 1 << 22
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -58,7 +61,7 @@ class Shingler:
         self.rule, self.counts = rule, counts
         self.known: dict[bytes, int] = {}
         self.hashes = np.zeros(0, dtype=np.uint64)
-        self.weights = np.zeros(0, dtype=np.int64)
+        self.weights = np.zeros(0, dtype=np.uint16)
 
     def _ids(self, words: list[bytes]) -> np.ndarray:
         import xxhash
@@ -70,33 +73,61 @@ class Shingler:
             self.hashes = np.concatenate((self.hashes, fresh))
             if self.counts is not None:
                 slots = np.fromiter(map(zlib.crc32, new), dtype=np.int64, count=len(new)) & (len(self.counts) - 1)
-                self.weights = np.concatenate((self.weights, self.counts[slots]))
+                self.weights = np.concatenate((self.weights, _weights(self.counts[slots])))
         return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def sets(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Per text the sorted distinct shingles and their weights: the least count of their words."""
+    def _shingles(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        """The hash of each run of so many words; runs of another length have hashes of their own."""
+        total = np.full(len(hashes) - size + 1, size, dtype=np.uint64)
+        for i in range(size):
+            total = _mixed(total * _ODD[3] + hashes[i : i + len(total)])
+        return total
+
+    def sets(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """Per text the sorted distinct shingles and, given word counts, their weights: the least of their words."""
         if len(self.known) > 300_000:
             self.__init__(self.rule, self.counts)
         lists = [words_of(t) for t in texts]
-        flat = self._ids([w for ws in lists for w in ws])
-        hashes = self.hashes[flat]
-        weights = self.weights[flat] if self.counts is not None else flat
-        k, at = self.rule.words, 0
+        flat = self._ids(list(chain.from_iterable(lists)))
+        k, hashes = self.rule.words, self.hashes[flat]
+        runs = self._shingles(hashes, k) if len(flat) >= k else None  # of all texts at once; those across two are left out
+        least = weights = None
+        if self.counts is not None:
+            weights = self.weights[flat]
+            if runs is not None:
+                least = weights[: len(runs)]
+                for i in range(1, k):
+                    least = np.minimum(least, weights[i : i + len(runs)])
+        at = 0
         for words in lists:
-            n, here = len(words), slice(at, at + len(words))
+            n, start = len(words), at
             at += n
             if not n:
-                yield np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-                continue
-            size = min(k, n)
-            own, weight = hashes[here], weights[here]
-            total = np.full(n - size + 1, size, dtype=np.uint64)  # shorter texts have shingles of their own kind
-            least = weight[: n - size + 1]
-            for i in range(size):
-                total = _mixed(total * _ODD[3] + own[i : i + len(total)])
-                least = np.minimum(least, weight[i : i + len(total)])
-            found, first = np.unique(total, return_index=True)
-            yield found, least[first]
+                yield np.zeros(0, dtype=np.uint64), None if weights is None else np.zeros(0, dtype=np.uint16)
+            elif n < k:
+                yield self._shingles(hashes[start:at], n), None if weights is None else weights[start:at].min(keepdims=True)
+            else:
+                here = slice(start, at - k + 1)
+                if least is None:
+                    found = np.sort(runs[here])
+                    yield found[_firsts(found)], None
+                else:
+                    order = np.argsort(runs[here])
+                    found = runs[here][order]
+                    first = _firsts(found)
+                    yield found[first], least[here][order][first]
+
+
+def _weights(counts: np.ndarray) -> np.ndarray:
+    """Counts as numbers of 16 bits that never fall as the counts rise."""
+    return (np.log2(counts + 1.0) * 1024).astype(np.uint16)
+
+
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Whether each number differs from the one before."""
+    first = np.ones(len(ordered), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    return first
 
 
 def _set_id(tokens: np.ndarray) -> bytes:
@@ -122,7 +153,7 @@ def word_counts(docs: DataFrame, bits: int = COUNT_BITS) -> np.ndarray:
         table = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
             for run in chunks(batch["text"].to_pylist()):
-                found = Counter(w for t in run for w in words_of(t))
+                found = Counter(chain.from_iterable(map(words_of, run)))
                 slots = np.fromiter(map(zlib.crc32, found), dtype=np.int64, count=len(found)) & (len(table) - 1)
                 np.add.at(table, slots, np.fromiter(found.values(), dtype=np.int64, count=len(found)))
         used = np.flatnonzero(table)
@@ -155,8 +186,8 @@ def signatures(docs: DataFrame, rule: Rule, counts) -> DataFrame:
                     sizes.append(n)
                     ids.append(_set_id(tokens))
                     bits.append(_parities(tokens))
-                    first = np.lexsort((tokens, weights))[: rule.prefix(n)] if n else []
-                    prefixes.append(tokens[first].view(np.int64))
+                    first = np.argsort(weights, kind="stable")[: rule.prefix(n)]  # tokens are sorted already
+                    prefixes.append(tokens[first if n else first[:0]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["id"],
@@ -173,54 +204,97 @@ def signatures(docs: DataFrame, rule: Rule, counts) -> DataFrame:
     return rows.mapInArrow(sign, "id bigint, h bigint, n bigint, sid binary, prefix array<bigint>, bits array<bigint>")
 
 
-def _bits_of(hashes, bits: int):
-    return F.pmod(hashes, F.lit(1 << bits))
+class Filter(NamedTuple):
+    """A bitmap of hashed keys. It has at most 2 ** 30 bits (128 MB); with more keys than that it passes more others on,
+    which the join behind it tells apart."""
+
+    bits: int
+    words: np.ndarray
+
+    @staticmethod
+    def of(keys: DataFrame, column) -> Filter:
+        least, most = FILTER_BITS
+        bits = min(most, max(least, (8 * keys.count()).bit_length()))
+        place = F.pmod(F.xxhash64(column), F.lit(1 << bits))
+        found = (
+            keys.select(F.shiftright(place, 6).alias("word"), F.pmod(place, F.lit(64)).cast("int").alias("bit"))
+            .groupBy("word")
+            .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+            .toArrow()
+        )
+        words = np.zeros(1 << (bits - 6), dtype=np.int64)
+        words[found["word"].to_numpy()] = found["bits"].to_numpy()
+        return Filter(bits, words)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & ((1 << self.bits) - 1)
+        return (self.words[at >> 6] >> (at & 63)) & 1
+
+
+def shared_prefixes(signed: DataFrame) -> DataFrame:
+    """sid, n, bits, id (the smallest), length of the prefix, and its tokens that other sets have too as (i, token).
+
+    Tokens are counted first, alone. Most are in the prefix of one set only; a filter takes them out of the prefixes
+    before these are moved, and the join with the shared tokens takes out what is left of them.
+    """
+    tokens = signed.select(F.explode("prefix").alias("token"), F.xxhash64("sid").alias("key"))
+    ends = tokens.groupBy("token").agg(F.min("key").alias("one"), F.max("key").alias("other"))
+    shared = stored(ends.where("one <> other").select("token"), "shared-tokens")
+    broadcast = signed.sparkSession.sparkContext.broadcast(Filter.of(shared, "token"))
+
+    def hits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_ = broadcast.value
+        for batch in batches:
+            lists, hashes = batch["prefix"], batch["hashes"].flatten().to_numpy()
+            ends_ = np.cumsum(np.asarray(lists.value_lengths()))
+            hit = np.flatnonzero(filter_.has(hashes))
+            row = np.searchsorted(ends_, hit, side="right")
+            starts = ends_ - np.asarray(lists.value_lengths())
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(ends_))))).astype(np.int32)
+            places = pa.array(hit - starts[row] + 1, pa.int64())
+            for_rows = [pa.ListArray.from_arrays(offsets, v) for v in (places, lists.flatten().take(pa.array(hit)))]
+            columns = [*(batch[c] for c in ("sid", "n", "bits", "id", "length")), *for_rows]
+            yield pa.RecordBatch.from_arrays(columns, names=["sid", "n", "bits", "id", "length", "i", "token"])
+
+    rows = signed.where("n > 0").select(
+        "sid", "n", "bits", "id", F.size("prefix").alias("length"), "prefix",
+        F.transform("prefix", lambda t: F.xxhash64(t)).alias("hashes"),
+    )
+    schema = "sid binary, n bigint, bits array<bigint>, id bigint, length int, i array<bigint>, token array<bigint>"
+    rows = rows.mapInArrow(hits, schema).where(F.size("i") > 0)
+    firsts = [F.first(c).alias(c) for c in ("n", "bits", "length", "i", "token")]
+    sets = stored(rows.groupBy("sid").agg(F.min("id").alias("id"), *firsts), "prefixes")
+    broadcast.destroy()
+    postings = sets.select("sid", F.explode(F.arrays_zip("i", "token")).alias("e")).select("sid", "e.*")
+    # Postings are many, so they carry nothing but the set, the place and the token; what else is known joins afterwards.
+    kept = postings.join(shared, "token").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("i", "token"))).alias("kept"))
+    return kept.join(sets.drop("i", "token"), "sid")
 
 
 def whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame) -> DataFrame:
-    """sid and tokens of at least the wanted sets; ``wanted`` holds the id of a document with each.
+    """sid and sorted 64-bit shingles of at least the wanted sets, stored; ``wanted`` holds the id of a document with each.
 
-    Documents are passed over by a bitmap of their ids, whose size does not depend on the input; a false hit or a
-    repeated id adds rows that no pair asks for or that give a link twice. Tokens are the sorted lower 48 bits of the
-    shingles: two shingles of a pair of sets with a thousand members each are confused once in some 10 ** 8 pairs.
+    Documents are passed over by a filter of their ids; a false hit or a repeated id adds rows that no pair asks for or
+    that give a link twice.
     """
-    place = _bits_of(F.xxhash64("id"), FILTER_BITS)
-    words = (
-        wanted.select(F.shiftright(place, 6).alias("word"), F.pmod(place, F.lit(64)).cast("int").alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    )
-    found = words.toArrow()
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
-    broadcast = docs.sparkSession.sparkContext.broadcast(bitmap)
+    broadcast = docs.sparkSession.sparkContext.broadcast(Filter.of(wanted, "id"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bits = Shingler(rule), broadcast.value
+        shingler, filter_ = Shingler(rule), broadcast.value
         for batch in batches:
-            at = batch["place"].to_numpy()
-            hit = np.flatnonzero((bits[at >> 6] >> (at & 63)) & 1)
+            hit = np.flatnonzero(filter_.has(batch["place"].to_numpy()))
             texts = batch["text"].take(pa.array(hit)).to_pylist()
             for run in chunks(texts):
                 ids, sets = [], []
                 for tokens, _ in shingler.sets(run):
                     ids.append(_set_id(tokens))
-                    sets.append(_packed(tokens))
+                    sets.append(tokens.astype("<u8").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], names=["sid", "tokens"])
 
-    return docs.select("text", place.alias("place")).mapInArrow(cut, "sid binary, tokens binary")
-
-
-def _packed(tokens: np.ndarray) -> bytes:
-    low = np.sort(tokens & np.uint64((1 << 48) - 1)).astype("<u8")
-    return low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpacked(data: pa.Scalar) -> np.ndarray:
-    raw = np.frombuffer(data.as_buffer(), dtype=np.uint8).reshape(-1, 6)
-    wide = np.zeros((len(raw), 8), dtype=np.uint8)
-    wide[:, :6] = raw
-    return wide.view("<u8").ravel()
+    found = docs.select("text", F.xxhash64("id").alias("place")).mapInArrow(cut, "sid binary, tokens binary")
+    found = stored(found, "sets")
+    broadcast.destroy()
+    return found
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -233,8 +307,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     def linked(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(left, right):
-            x, y = _unpacked(x), _unpacked(y)
-            common = len(np.intersect1d(x, y))
+            x, y = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (x, y))
+            common = len(np.intersect1d(x, y, assume_unique=True))
             out.append(100 * common >= percent * (len(x) + len(y) - common))
         return pa.array(out, type=pa.bool_())
 
@@ -248,7 +322,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return both.join(left, "a").join(right, "b").where(linked("ta", "tb")).select("a", "b")
 
 
-ENTRY = ["sid", "n", "i", "s", "bits", "alone"]
+ENTRY = ["sid", "n", "i", "s", "before", "bits", "alone"]
 
 
 def _may_link(rule: Rule):
@@ -283,47 +357,54 @@ def _pivot_pairs(entries: DataFrame, buckets: int, rule: Rule) -> DataFrame:
 
 
 def _all_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
-    """All pairs of members in different components; for lists of bounded length only."""
-    other = entries.select("list", F.struct(*ENTRY, "comp").alias("p"))
-    apart = (F.col("sid") < F.col("p.sid")) & (F.col("comp") != F.col("p.comp"))
-    joined = entries.join(other, "list").where(apart & _may_link(rule))
+    """Pairs of members in different components, for lists of bounded length.
+
+    Lists are split by size: a set links with larger ones of its own band of sizes and of the next one only. A pair
+    that has one of the tokens just before this one in common too is left to the list of that token: both sets are
+    there, in different components, so that list is open as well and compares them in this round or in a later one.
+    """
+    width = math.log(100 / rule.percent) * 1.000001 if rule.percent < 100 else 1e-6
+    band = F.floor(F.log(F.col("n").cast("double")) / width)
+    smaller = entries.withColumn("band", F.explode(F.array(band, band + 1)))
+    larger = entries.select("list", band.alias("band"), F.struct(*ENTRY, "comp").alias("p"))
+    in_order = (F.col("n") < F.col("p.n")) | ((F.col("n") == F.col("p.n")) & (F.col("sid") < F.col("p.sid")))
+    apart = in_order & (F.col("comp") != F.col("p.comp"))
+    joined = smaller.join(larger, ["list", "band"]).where(apart & _may_link(rule) & ~F.arrays_overlap("before", "p.before"))
     return joined.select(F.col("sid").alias("a"), F.col("p.sid").alias("b"))
 
 
 def linked_sets(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     """sid and comp of every set that has a link to another set; comp is the smallest sid of its component."""
-    full = signed.where("n > 0")
-    postings = full.groupBy("sid").agg(F.first("prefix").alias("prefix")).select("sid", F.posexplode("prefix").alias("i", "token"))
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("token")
-    kept = postings.join(shared, "token")  # tokens of one set only link nothing
-
-    # Collapse: sets with the same remaining prefix and size are one group, named by its smallest member. Postings are
-    # many, so they carry nothing but the set, the place and the token; what else is known of a set joins it afterwards.
-    in_order = F.array_sort(F.collect_list(F.struct((F.col("i") + 1).alias("i"), "token")))
-    first_of = [F.first(c).alias(c) for c in ("n", "bits")]
-    facts = full.groupBy("sid").agg(F.min("id").alias("id"), *first_of, F.first(F.size("prefix")).alias("length"))
-    remaining = kept.groupBy("sid").agg(in_order.alias("kept")).join(facts, "sid")
-    entries = F.transform("kept", lambda e, s: F.struct(e["token"].cast("string").alias("list"), e["i"].alias("i"), s.alias("s")))
+    remaining = shared_prefixes(signed)
+
+    # Collapse: sets with the same remaining prefix and size are one group, named by its smallest member.
+    def entry(e, s):
+        before = F.slice("kept", F.greatest(s - F.lit(BEFORE - 1), F.lit(1)), F.least(s, F.lit(BEFORE)))
+        tokens = F.transform(before, lambda x: x["token"])
+        return F.struct(e["token"].cast("string").alias("list"), e["i"].alias("i"), s.alias("s"), tokens.alias("before"))
+
     remaining = remaining.select(
-        "sid", "n", "id", "bits", entries.alias("entries"), F.transform("kept", lambda e: e["token"]).alias("tokens"),
-        (F.col("length") - F.size("kept")).alias("alone"),
+        "sid", "n", "id", "bits", F.transform("kept", entry).alias("entries"),
+        F.transform("kept", lambda e: e["token"]).alias("tokens"), (F.col("length") - F.size("kept")).alias("alone"),
     )
     remaining = stored(remaining, "members")
     groups = remaining.groupBy("tokens", "n").agg(
         F.min(F.struct("alone", "sid", "bits", "entries")).alias("first"), F.count(F.lit(1)).alias("members")
     )
     groups = stored(groups.select("tokens", "n", "first.*", "members"), "groups")
-    whole = stored(whole_sets(docs, rule, remaining.select("id")), "sets")
+    whole = whole_sets(docs, rule, remaining.select("id"))
 
     def exploded(rows: DataFrame) -> DataFrame:
-        flat = rows.select(F.explode("entries").alias("e"), "sid", "n", "bits", "alone")
-        return flat.select("e.*", "sid", "n", "bits", "alone").select("list", *ENTRY)
+        return rows.select(F.explode("entries").alias("e"), "sid", "n", "bits", "alone").select(
+            "e.*", "sid", "n", "bits", "alone"
+        ).select("list", *ENTRY)
 
     # First the group pairs of each token's list, and the members of each group, by one pivot each.
     several = groups.where("members > 1").select("tokens", "n", F.hex("sid").alias("list"))
     inner = remaining.join(several, ["tokens", "n"]).select(
-        "list", "sid", "n", F.lit(1).alias("i"), F.lit(0).alias("s"), "bits", "alone"
-    )
+        "list", "sid", "n", F.lit(1).cast("bigint").alias("i"), F.lit(0).alias("s"),
+        F.array().cast("array<bigint>").alias("before"), "bits", "alone",
+    )
     first = exploded(groups).unionByName(inner).withColumn("comp", F.col("sid"))
     links = stored(_verified(_pivot_pairs(first, 1, rule), whole, rule), "links")
     comps = components(links)
@@ -370,6 +451,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     counts = docs.sparkSession.sparkContext.broadcast(word_counts(rows))
     signed = stored(signatures(rows, rule, counts), "signatures")
+    counts.destroy()
     comps = linked_sets(rows, signed, rule)
     classes = signed.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"))
     labelled = classes.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
