@@ -21,9 +21,10 @@ from lakeprofile.llm.components import components
 WORDS_PER_SHINGLE = 5
 PERCENT = 80
 COUNT_BITS = 20  # word counts are kept in a table of that many bits, whatever the number of words
-FILTER_BITS = (16, 30)  # least and most bits (as powers of two) of a filter; in between it has eight per key
+FILTER_BITS = (22, 30)  # least and most bits (as powers of two) of a filter; in between it has sixteen per key
 BROADCAST_PAIRS = 200_000  # pairs whose set ids, or documents whose keys, are broadcast
 WHOLE_LIST = 2_048  # lists up to this length are compared pair by pair, longer ones by pivots first
+SHORT_LIST = 64  # lists above this length are split by the sizes of their members
 BEFORE = 4  # an entry of a list carries so many shared tokens that stand before its own
 
 _SPLIT = 1 << 22
@@ -132,7 +133,7 @@ def _firsts(ordered: np.ndarray) -> np.ndarray:
 
 def _set_id(tokens: np.ndarray) -> bytes:
     """128 bits that only the set decides."""
-    one, two = (_mixed(tokens ^ o).sum(dtype=np.uint64) for o in _ODD[:2])
+    one, two = tokens.sum(dtype=np.uint64), _mixed(tokens ^ _ODD[0]).sum(dtype=np.uint64)  # shingles are spread already
     return int(one).to_bytes(8, "big") + int(two).to_bytes(8, "big")
 
 
@@ -214,7 +215,7 @@ class Filter(NamedTuple):
     @staticmethod
     def of(keys: DataFrame, column) -> Filter:
         least, most = FILTER_BITS
-        bits = min(most, max(least, (8 * keys.count()).bit_length()))
+        bits = min(most, max(least, (16 * keys.count()).bit_length()))
         place = F.pmod(F.xxhash64(column), F.lit(1 << bits))
         found = (
             keys.select(F.shiftright(place, 6).alias("word"), F.pmod(place, F.lit(64)).cast("int").alias("bit"))
@@ -359,18 +360,23 @@ def _pivot_pairs(entries: DataFrame, buckets: int, rule: Rule) -> DataFrame:
 def _all_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of members in different components, for lists of bounded length.
 
-    Lists are split by size: a set links with larger ones of its own band of sizes and of the next one only. A pair
+    Longer lists are split by size: a set links with larger ones of its own band of sizes and of the next one only. A pair
     that has one of the tokens just before this one in common too is left to the list of that token: both sets are
     there, in different components, so that list is open as well and compares them in this round or in a later one.
     """
     width = math.log(100 / rule.percent) * 1.000001 if rule.percent < 100 else 1e-6
     band = F.floor(F.log(F.col("n").cast("double")) / width)
-    smaller = entries.withColumn("band", F.explode(F.array(band, band + 1)))
-    larger = entries.select("list", band.alias("band"), F.struct(*ENTRY, "comp").alias("p"))
+    short = F.col("long") <= SHORT_LIST
+    other = F.struct(*ENTRY, "comp").alias("p")
+    smaller = entries.where(~short).withColumn("band", F.explode(F.array(band, band + 1)))
+    larger = entries.where(~short).select("list", band.alias("band"), other)
+    whole = entries.where(short)
     in_order = (F.col("n") < F.col("p.n")) | ((F.col("n") == F.col("p.n")) & (F.col("sid") < F.col("p.sid")))
     apart = in_order & (F.col("comp") != F.col("p.comp"))
-    joined = smaller.join(larger, ["list", "band"]).where(apart & _may_link(rule) & ~F.arrays_overlap("before", "p.before"))
-    return joined.select(F.col("sid").alias("a"), F.col("p.sid").alias("b"))
+    asked = apart & _may_link(rule) & ~F.arrays_overlap("before", "p.before")
+    pair = (F.col("sid").alias("a"), F.col("p.sid").alias("b"))
+    of_long = smaller.join(larger, ["list", "band"]).where(asked).select(*pair)
+    return whole.join(whole.select("list", other), "list").where(asked).select(*pair).union(of_long)
 
 
 def linked_sets(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
@@ -413,7 +419,8 @@ def linked_sets(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     lists = exploded(remaining)
     reach, buckets = WHOLE_LIST, 4
     while True:
-        entries = lists.join(comps.select(F.col("node").alias("sid"), "label"), "sid", "left")
+        labels = light(comps.select(F.col("node").alias("sid"), "label"), BROADCAST_PAIRS)
+        entries = lists.join(labels, "sid", "left")
         entries = entries.withColumn("comp", F.coalesce("label", "sid")).drop("label")
         state = entries.groupBy("list").agg(
             F.count(F.lit(1)).alias("long"), F.min("comp").alias("c1"), F.max("comp").alias("c2")

@@ -60,6 +60,7 @@ def corpus(seed):
 @pytest.mark.parametrize(("seed", "rule", "whole"), [(1, J.Rule(3, 90), 32), (2, J.Rule(5, 80), 2), (3, J.Rule(2, 50), 1)])
 def test_components_equal_brute_force(spark, monkeypatch, seed, rule, whole):
     monkeypatch.setattr(J, "WHOLE_LIST", whole)  # short lists go through rounds of pivots as well
+    monkeypatch.setattr(J, "SHORT_LIST", 2 * seed)  # and are split by size
     rows = list(enumerate(corpus(seed)))
     rows += [(3, rows[3][1]), (3, "another text with this id"), (None, rows[0][1]), (None, "alone without an id")]
     df = spark.createDataFrame([(i, t, b"") for i, t in rows], "doc_id long, text string, sid binary")
