@@ -23,7 +23,7 @@ PERCENT = 80
 COUNT_BITS = 20  # word counts are kept in a table of that many bits, whatever the number of words
 FILTER_BITS = (22, 30)  # least and most bits (as powers of two) of a filter; in between it has sixteen per key
 BROADCAST_PAIRS = 200_000  # pairs whose set ids, or documents whose keys, are broadcast
-WHOLE_LIST = 2_048  # lists up to this length are compared pair by pair, longer ones by pivots first
+WHOLE_LIST = 64  # lists up to this length are compared pair by pair, longer ones by pivots first
 SHORT_LIST = 64  # lists above this length are split by the sizes of their members
 BEFORE = 4  # an entry of a list carries so many shared tokens that stand before its own
 
@@ -439,7 +439,7 @@ def linked_sets(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
         if longest <= reach:
             break
         lists = entries.where(F.col("long") > reach).select("list", *ENTRY)
-        reach, buckets = reach * 4, buckets * 4
+        reach, buckets = reach * 8, buckets * 4
     return comps.select(F.col("node").alias("sid"), F.col("label").alias("comp"))
 
 
