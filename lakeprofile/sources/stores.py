@@ -219,12 +219,12 @@ def list_paths(spark: SparkSession, paths: DataFrame) -> DataFrame:
 # ---- reading
 
 
-def spread(listing: DataFrame, by: str = "path") -> DataFrame:
-    """The listing dealt to tasks of bounded bytes and rows."""
+def spread(listing: DataFrame, *by: str, most: int = BYTES_PER_TASK) -> DataFrame:
+    """The listing dealt to tasks of bounded bytes (``most`` on average) and rows."""
     facts = listing.agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    tasks = max(-(-(facts["bytes"] or 0) // BYTES_PER_TASK), -(-facts["n"] // PATHS_PER_TASK), 1)
+    tasks = max(-(-(facts["bytes"] or 0) // most), -(-facts["n"] // PATHS_PER_TASK), 1)
     cores = listing.sparkSession.sparkContext.defaultParallelism
-    return listing.repartition(int(max(tasks, min(cores, facts["n"], 64))), by)
+    return listing.repartition(int(max(tasks, min(cores, facts["n"], 64))), *(by or ("path",)))
 
 
 def _read(path: str) -> tuple[bytes | None, str | None, str | None]:
@@ -370,13 +370,14 @@ def read_lines(files: DataFrame, range_bytes: int = BYTES_PER_TASK) -> DataFrame
     stored here.
     """
     last = F.greatest(F.ceil(F.col("length") / range_bytes) - 1, F.lit(0)).cast("bigint")
-    ranges = files.select("path", "valid", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("range"))
-    ranges = ranges.select("path", "valid", (F.col("range") * range_bytes).alias("start"))
-    n = ranges.count()
+    ranges = files.select("path", "valid", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("range"))
+    start = (F.col("range") * range_bytes).alias("start")
+    # What is left of the file counts, so that small files share a task and a full range has one of its own.
+    ranges = ranges.select("path", "valid", start, F.least(F.col("length") - start, F.lit(range_bytes)).alias("length"))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in batch.select(["path", "valid", "start"]).to_pylist():
                 path, valid, start = row["path"], row["valid"], row["start"]
                 try:
                     system, name = opened(path)
@@ -390,7 +391,7 @@ def read_lines(files: DataFrame, range_bytes: int = BYTES_PER_TASK) -> DataFrame
         return _batches(rows(batches), _LINES, lambda r: len(r[3] or b"") + 64)
 
     schema = "path string, valid boolean, position bigint, line binary, error_kind string, error string"
-    found = ranges.repartition(max(n, 1), "path", "start").mapInArrow(read, schema)
+    found = spread(ranges, "path", "start", most=range_bytes).mapInArrow(read, schema)
     text = F.when(F.col("valid"), F.col("line").cast("string")).otherwise(F.decode("line", "ISO-8859-1"))
     return stored(found.select("path", "position", text.alias("line"), "error_kind", "error"), "lines")
 

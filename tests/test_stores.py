@@ -177,3 +177,18 @@ def test_written_files_are_read_back(spark, tmp_path):
     got = stores.read_listed(stores.list_tree(spark, str(tmp_path / "out"))).collect()
     prefix = len(f"file:{tmp_path}/out/")
     assert {r.path[prefix:]: bytes(r.content) for r in got} == {**{p: bytes(c) for p, c in content}, "none": b""}
+
+
+def test_small_files_share_the_tasks_that_read_their_lines(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.txt").write_text(f"a{i}\nb\n")
+    listing = stores.list_tree(spark, str(tmp_path))
+    seen = []
+    real = stores.spread
+    try:
+        stores.spread = lambda *a, **b: seen.append(real(*a, **b)) or seen[-1]
+        lines = stores.read_lines(listing.select("path", "length", F.lit(True).alias("valid")))
+    finally:
+        stores.spread = real
+    assert lines.count() == 600
+    assert seen[0].rdd.getNumPartitions() <= 64
