@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from lakeprofile.operators import neighbours as K
@@ -104,3 +105,43 @@ def test_training_rows_go_to_their_own_block_only(spark, monkeypatch):
         assert sorted(chunks) == list(range(-(-n // 25)))
     for seen in per_block.values():
         assert len({q for q, _ in seen}) == len(seen)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cityblock"])
+@pytest.mark.parametrize("scale", [1.0, 1e9, 1e120])
+def test_tiles_hold_no_more_than_their_rows_and_stay_exact(monkeypatch, metric, scale):
+    """The distances of one tile are held at a time, whatever the size of the training table; rounding loses nothing."""
+    monkeypatch.setattr(K, "TILE_ROWS", 32)
+    rng = np.random.default_rng(4)
+    vectors = np.round(rng.normal(size=(400, 5)), 1) * scale
+    train = pd.DataFrame({"tid": np.arange(400), "features": list(vectors), "label": np.arange(400) % 3})
+    queries = pd.DataFrame({"qid": np.arange(50), "split": 0, "features": list(vectors[:50])})
+    seen = []
+    for name in ("_rough", "_direct"):
+        real = getattr(K, name)
+        monkeypatch.setattr(K, name, lambda q, t, *more, real=real: seen.append(len(t)) or real(q, t, *more))
+    found = pd.concat(K._best(queries, K._Train.of(train, metric, "others"), 9, metric, "others"))
+    assert max(seen) <= 32
+    for i in range(50):
+        gap = np.abs(vectors - vectors[i])
+        dist = K._exact(np.repeat(vectors[i : i + 1], 400, axis=0), vectors, metric)
+        assert np.allclose(dist, np.sqrt((gap * gap).sum(axis=1)) if metric == "euclidean" else gap.sum(axis=1))
+        expected = sorted((d, t) for t, d in enumerate(dist) if t != i)[:9]
+        mine = found[found["qid"] == i].sort_values("rank")
+        assert list(zip(mine["dist"], mine["tid"])) == expected
+
+
+def test_queries_are_stored_once_however_many_blocks_they_visit(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(K, "PIVOTS", 6)
+    train = points(160, 0, 3)
+    q = spark.createDataFrame([(i, 0, v) for i, v, _ in train], "qid long, split int, features array<double>")
+    t = spark.createDataFrame(train, "tid long, features array<double>, label int")
+    visits, _ = K._in_blocks(q, t, 9, "euclidean")
+    assert visits.count() == 160
+
+
+def test_small_cells_share_a_block(monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_ROWS", 100)
+    groups = K._groups({0: 40, 1: 300, 2: 40, 3: 20}, np.array([[0.0], [50.0], [1.0], [2.0]]))
+    assert groups[0] == groups[2] == groups[3] != groups[1]
