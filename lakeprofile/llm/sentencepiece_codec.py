@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from lakeprofile.llm.common import chunks
 
 SPACE = "▁"  # the piece character that stands for a blank
 CACHED_WORDS = 100_000  # words of the younger generation that a task remembers; then it becomes the older one
-CACHED_CHARS = 4_000_000  # and the characters of these words
+CACHED_BYTES = 4_000_000  # and the bytes of these words
 RUN_CHARS = 1 << 19  # of texts that are encoded at once
 SLOT_BITS = 20
 CODE_POINTS = 0x110000
@@ -82,8 +83,7 @@ class Codec:
         self.merged = np.array([found[k][1] for k in sorted(found)], dtype=np.int32)
         self.slots = _slot_tables(self.keys)
         # A line feed that no longer piece has is a word of its own.
-        alone = "" if any("\n" in p and len(p) > 1 for p in ids) else "\n"
-        self.words = re.compile(f" *[^ {alone}]+| +" + ("|\n" if alone else ""))
+        self.lines_alone = not any("\n" in p and len(p) > 1 for p in ids)
         self._cut_blanks(max((len(p) for p in ids if not p.strip(SPACE)), default=0))
         texts = [b""] * size
         for i in range(size):
@@ -99,13 +99,13 @@ class Codec:
 
         All blank pieces may share one rank, which allows one merge a round; the cut keeps such runs linear.
         """
+        self.blanks = 0  # the blanks of such a word; 0 if runs are not cut
         if longest < 2:
             return
-        runs = [self._encode_words([" " * n])[0].tolist() for n in range(2 * longest, 5 * longest)]
-        whole = self._encode_words([" " * longest])[0].tolist()
+        runs = [self._encode_words([b" " * n])[0].tolist() for n in range(2 * longest, 5 * longest)]
+        whole = self._encode_words([b" " * longest])[0].tolist()
         if all(b == whole + a for a, b in zip(runs, runs[longest:])):
-            first = f" {{{longest}}}(?= {{{2 * longest}}})|"
-            self.words = re.compile(first + self.words.pattern)
+            self.blanks = longest
 
     def _forget(self) -> None:
         self.young, self.old = _Words(), _Words()
@@ -200,11 +200,16 @@ class Codec:
         base = np.repeat(before[first], np.diff(np.append(first, len(site))))
         return site[before == base]
 
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words, flat, and their number per word."""
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words (none of them empty), flat, and their number per word."""
+        if not words:
+            return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+        joined = b"".join(words)
+        points = np.frombuffer(joined.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         points = np.where(points == 32, ord(SPACE), points)
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+        leads = np.frombuffer(joined, dtype=np.uint8) & 0xC0 != 0x80  # the first byte of each character
+        lengths = np.add.reduceat(leads, np.append(0, ends[:-1]), dtype=np.int64)
         symbols, at, counts = self._merge(self.of_char[points], lengths)
         raw = (symbols < 0) | (symbols >= self.size)
         if not raw.any():
@@ -222,29 +227,56 @@ class Codec:
 
     # ---- texts
 
+    def _words(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct words of the texts, the places of all their words in that list, and the words up to each text.
+
+        A word begins at each text, at the first blank of a run, and at and behind a line feed that is a word of its own.
+        """
+        parts = [(" " + t.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        data = b"".join(parts)
+        bytes_ = np.frombuffer(data, dtype=np.uint8)
+        bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))))
+        blank = bytes_ == 32
+        begins = blank.copy()
+        begins[1:] &= ~blank[:-1]
+        if self.lines_alone:
+            feed = bytes_ == 10
+            begins |= feed
+            begins[1:] |= feed[:-1]
+        begins[bounds[:-1][np.diff(bounds) > 0]] = True
+        longest = self.blanks
+        if longest and b" " * (3 * longest) in data:
+            for at, part in zip(bounds.tolist(), parts):
+                for run in re.finditer(b" {%d,}" % (3 * longest), part):
+                    begins[at + run.start() : at + run.end() - 2 * longest + 1 : longest] = True
+        starts = np.flatnonzero(begins)
+        offsets = pa.py_buffer(np.append(starts, len(data)))
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        return distinct, words.indices.to_numpy(), np.searchsorted(starts, bounds)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, flat, and the offset of each text (one more than texts)."""
-        if len(self.young.known) > CACHED_WORDS or self.young.chars > CACHED_CHARS:
+        if len(self.young.known) > CACHED_WORDS or self.young.bytes > CACHED_BYTES:
             self.young, self.old = _Words(), self.young
-        index, counts = [], []
-        for text in texts:
-            words = self.words.findall(" " + text.replace(SPACE, " ")) if text else []
-            counts.append(len(words))
-            index += words
+        distinct, index, per_text = self._words(texts)
         young, old = self.young, self.old
-        new = [w for w in dict.fromkeys(index) if w not in young.known]
-        again = [w for w in new if w in old.known]  # words of the older generation are carried over, not merged again
-        if again:
-            at = np.fromiter(map(old.known.__getitem__, again), dtype=np.int64, count=len(again))
-            per = old.starts[at + 1] - old.starts[at]
-            young.add(again, gathered(old.ids, old.starts[at], per), per)
-            new = [w for w in new if w not in old.known]
-        if new:
-            young.add(new, *self._encode_words(new))
-        at = np.fromiter(map(young.known.__getitem__, index), dtype=np.int64, count=len(index))
+        at = young.places(distinct)
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            at[unknown] = len(young.known) + np.arange(len(unknown))
+            words = [distinct[i] for i in unknown.tolist()]
+            before = old.places(words)  # words of the older generation are carried over, not merged again
+            new, again = np.flatnonzero(before < 0), np.flatnonzero(before >= 0)
+            ids, per = self._encode_words([words[i] for i in new.tolist()])
+            sizes = np.zeros(len(words), dtype=np.int64)
+            sizes[new], sizes[again] = per, old.starts[before[again] + 1] - old.starts[before[again]]
+            starts = np.zeros(len(words), dtype=np.int64)
+            starts[new], starts[again] = len(old.ids) + np.cumsum(per) - per, old.starts[before[again]]
+            young.add(words, gathered(np.concatenate((old.ids, ids)), starts, sizes), sizes)
+        at = at[index]
         starts, sizes = young.starts[at], young.starts[at + 1] - young.starts[at]
         offsets = np.concatenate(([0], np.cumsum(sizes)))
-        per_text = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
         return gathered(young.ids, starts, sizes), offsets[per_text]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
@@ -261,14 +293,18 @@ class _Words:
     """Words and their ids, flat; ``starts`` has one more entry than there are words."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
-        self.chars = 0
+        self.known: dict[bytes, int] = {}
+        self.bytes = 0
         self.ids = np.zeros(0, dtype=np.int32)
         self.starts = np.zeros(1, dtype=np.int64)
 
-    def add(self, words: list[str], ids: np.ndarray, per: np.ndarray) -> None:
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, -1 where it is not known."""
+        return np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+
+    def add(self, words: list[bytes], ids: np.ndarray, per: np.ndarray) -> None:
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.chars += sum(map(len, words))
+        self.bytes += sum(map(len, words))
         self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
         self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(per)))
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -59,6 +60,16 @@ def test_forgotten_words_are_encoded_again(model, library, monkeypatch):
         assert model.encode([text])[0].tolist() == library.encode(text)
 
 
+def test_words_are_cut_as_by_the_pattern_and_listed_once(model):
+    sample = [*texts(), "\ud800 x\n\n  y", *(f"a{' ' * n}b\n{' ' * n}" for n in range(44, 130))]
+    pattern = re.compile(" {16}(?= {32})| *[^ \n]+| +|\n")
+    cut = [pattern.findall(" " + t.replace(S.SPACE, " ")) if t else [] for t in sample]
+    distinct, index, per_text = model._words(sample)
+    flat = [distinct[i].decode("utf-8", "surrogatepass") for i in index]
+    assert [flat[a:b] for a, b in zip(per_text, per_text[1:])] == cut
+    assert len(distinct) == len(set(distinct)) < len(flat)
+
+
 def test_columns(spark):
     rows = [(1, None, "x"), (1, "", "y"), (2, "a  b", "z"), (2, "a  b", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
