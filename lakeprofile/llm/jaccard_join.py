@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import math
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +26,7 @@ BEFORE = 4  # an entry of a list carries so many shared tokens that stand before
 
 _SPLIT = 1 << 22
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+_GAP = np.isin(np.arange(256), [32, *range(9, 14)])  # bytes between words
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -44,8 +41,20 @@ class Rule(NamedTuple):
         return size - (self.percent * size + 99) // 100 + 1
 
 
-def words_of(text: str) -> list[bytes]:
-    return _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
+def words_of(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of the texts (A-Z lower-cased), the place of each of all words in that list, and the number of
+    words of each text. Words are cut and numbered for all texts at once."""
+    parts = [t.encode("utf-8", "surrogatepass") + b" " for t in texts]
+    data = np.frombuffer(b"".join(parts).translate(_LOWER), dtype=np.uint8)
+    gap = _GAP[data]
+    edges = np.flatnonzero(np.diff(gap, prepend=True))  # a text ends with a gap, so each word has a start and an end
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[~gap])]
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+    bounds = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
+    per_text = np.diff(np.searchsorted(starts, bounds), prepend=0)
+    return words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(), per_text
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -65,9 +74,10 @@ class Shingler:
         self.weights = np.zeros(0, dtype=np.uint16)
 
     def _ids(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of distinct words."""
         import xxhash
 
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        new = [w for w in words if w not in self.known]
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             fresh = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in new), dtype=np.uint64, count=len(new))
@@ -88,8 +98,8 @@ class Shingler:
         """Per text the sorted distinct shingles and, given word counts, their weights: the least of their words."""
         if len(self.known) > 300_000:
             self.__init__(self.rule, self.counts)
-        lists = [words_of(t) for t in texts]
-        flat = self._ids(list(chain.from_iterable(lists)))
+        words, index, per_text = words_of(texts)
+        flat = self._ids(words)[index]
         k, hashes = self.rule.words, self.hashes[flat]
         runs = self._shingles(hashes, k) if len(flat) >= k else None  # of all texts at once; those across two are left out
         least = weights = None
@@ -100,8 +110,8 @@ class Shingler:
                 for i in range(1, k):
                     least = np.minimum(least, weights[i : i + len(runs)])
         at = 0
-        for words in lists:
-            n, start = len(words), at
+        for n in per_text.tolist():
+            start = at
             at += n
             if not n:
                 yield np.zeros(0, dtype=np.uint64), None if weights is None else np.zeros(0, dtype=np.uint16)
@@ -154,9 +164,9 @@ def word_counts(docs: DataFrame, bits: int = COUNT_BITS) -> np.ndarray:
         table = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
             for run in chunks(batch["text"].to_pylist()):
-                found = Counter(chain.from_iterable(map(words_of, run)))
+                found, index, _ = words_of(run)
                 slots = np.fromiter(map(zlib.crc32, found), dtype=np.int64, count=len(found)) & (len(table) - 1)
-                np.add.at(table, slots, np.fromiter(found.values(), dtype=np.int64, count=len(found)))
+                np.add.at(table, slots, np.bincount(index, minlength=len(found)))
         used = np.flatnonzero(table)
         for at in range(0, len(used), 1 << 16):
             part = used[at : at + (1 << 16)]

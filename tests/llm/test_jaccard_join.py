@@ -86,3 +86,16 @@ def test_components_of_chains_and_stars(spark):
     found = {r.node: r.label for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert found == {x: min(g) for g in (names[:30], names[40:]) for x in g}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_words_are_cut_for_all_texts_at_once_and_listed_once():
+    texts = ["The  the\tTHE\x0bÄ\x1c\x85", "", " \n", "a", "the \ud800 x\u3000y", ""]
+    distinct, index, per_text = J.words_of(texts)
+    flat, at = [distinct[i] for i in index], 0
+    for text, n in zip(texts, per_text):
+        data = text.encode("utf-8", "surrogatepass")
+        lower = re.sub(rb"[A-Z]", lambda m: m[0].lower(), data)
+        assert flat[at : at + n] == re.findall(rb"[^\x20\x09-\x0d]+", lower)
+        at += n
+    assert at == len(flat) and len(distinct) == len(set(distinct)) < len(flat)
+    assert [len(x) for x in J.words_of([])] == [0, 0, 0]
