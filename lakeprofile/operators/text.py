@@ -17,8 +17,12 @@ def tokenize(docs: DataFrame, text: str = "text", into: str = "tokens") -> DataF
 
 
 def bag_of_words(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, n): occurrences of each word of each document."""
-    tokens = explode_computed(tokenize(docs, text), "tokens", "term", key)
+    """(key, term, n): occurrences of each word of each document.
+
+    The texts of a key are moved to one task and counted there: a text is several times smaller than the rows of its words.
+    """
+    together = docs.select(key, text).repartition(key)
+    tokens = explode_computed(tokenize(together, text), "tokens", "term", key)
     return tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
