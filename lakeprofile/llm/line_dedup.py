@@ -42,7 +42,8 @@ def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
     while not level.isEmpty():
         levels.append(level)
         behind = level.select((F.col("pos") - depth).alias("pos"), F.col("rank").alias("r2"))
-        doubled = level.select("pos", F.col("rank").alias("r1")).join(behind, "pos")
+        # Stored, since pairs are counted in it and ranks are joined to it.
+        doubled = stored(level.select("pos", F.col("rank").alias("r1")).join(behind, "pos"), "doubled")
         level = stored(_ranked(doubled), "ranks")
         depth *= 2
     return levels
@@ -71,9 +72,10 @@ def repeated_lengths(levels: list[DataFrame]) -> DataFrame:
         least = both.groupBy("name", "length", "rank").agg(F.min("pos").alias("least"))
         longer = own.join(least, ["name", "length", "rank"]).where("least < pos")
         longer = longer.select("pos", (F.col("length") + step).alias("length"), F.col("least").alias("name"))
-        kept = found.join(longer.select("pos"), "pos", "left_anti")
-        new = fresh.join(found.select("pos"), "pos", "left_anti")
-        found = stored(longer.union(kept.select("pos", "length", "name")).union(new), "lengths")
+        # At one position a prolonged run is longer than the run itself, and that one longer than a fresh one.
+        longest = F.max(F.struct("length", "name")).alias("run")
+        every = longer.union(found.select("pos", "length", "name")).union(fresh)
+        found = stored(every.groupBy("pos").agg(longest).select("pos", "run.length", "run.name"), "lengths")
     return found.select("pos", "length")
 
 

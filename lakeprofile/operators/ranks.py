@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeprofile.session import ensure_checkpoint_dir
@@ -17,7 +17,8 @@ def global_positions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Key columns of ``df`` with their zero-based ``position`` in key order and the row count ``n``.
 
     Rows are range-partitioned and sorted inside partitions; only one count per partition is accumulated in
-    order. The sorted keys are checkpointed so that counts and positions come from the same partitioning.
+    order, on the driver, so that positions need no further exchange. The sorted keys are checkpointed so that counts
+    and positions come from the same partitioning.
     """
     ensure_checkpoint_dir(df.sparkSession)
     keys = list(keys)
@@ -31,14 +32,12 @@ def global_positions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         .drop("_id")
         .checkpoint()
     )
-    # One row per partition of the sort: its number does not depend on the table.
-    in_order = W.orderBy("_part")
-    offsets = (
-        ranged.groupBy("_part")
-        .agg(F.count(F.lit(1)).alias("_count"))
-        .withColumn("_before", F.sum("_count").over(in_order) - F.col("_count"))
-        .withColumn("n", F.sum("_count").over(W.partitionBy()))
-    )
-    return ranged.join(F.broadcast(offsets), "_part").select(
-        *keys, (F.col("_before") + F.col("_row")).alias("position"), "n"
+    # One count per partition of the sort: their number does not depend on the table.
+    counts = dict(ranged.groupBy("_part").agg(F.count(F.lit(1))).collect())
+    before = list(accumulate((counts.get(part, 0) for part in range(max(counts, default=0) + 1)), initial=0))
+    offsets = F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>")
+    return ranged.select(
+        *keys,
+        (F.get(offsets, F.col("_part").cast("int")) + F.col("_row")).alias("position"),
+        F.lit(before[-1]).cast("bigint").alias("n"),
     )

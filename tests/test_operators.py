@@ -40,6 +40,20 @@ def test_profile_cells_with_one_key_holding_most_cells(spark):
     assert got["cold", 0]["n_values"] == 1 and got["empty", 0]["min"] == [] and got["empty", 0]["n_values"] == 0
 
 
+def test_positions_need_no_exchange_behind_the_sort(spark):
+    df = global_positions(spark.range(1000).withColumnRenamed("id", "k"), ["k"])
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert global_positions(spark.range(0), ["id"]).collect() == []
+
+
+def test_words_of_a_key_are_counted_where_its_texts_are(spark):
+    rows = [(1, "one two two"), (1, "two <b>three"), (None, "one"), (None, "one"), (2, None), (2, "")]
+    bag = bag_of_words(spark.createDataFrame(rows, "k long, text string"), "k")
+    plan = bag._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(k#") == plan.count("Exchange") == 1 and "term#" not in plan.split("hashpartitioning(")[1].split(")")[0]
+    assert sorted(((r.k or 0, r.term, r.n) for r in bag.collect())) == [(0, "one", 2), (1, "one", 1), (1, "three", 1), (1, "two", 3)]
+
+
 def test_global_positions(spark):
     values = list(range(5000))
     random.Random(1).shuffle(values)
