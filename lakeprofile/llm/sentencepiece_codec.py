@@ -9,7 +9,6 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -341,39 +340,27 @@ def codec(model_file: str) -> Codec:
     return Codec(model_file)
 
 
-def encoder(model_file: str):
-    """Column function: text to its ids (array<int>). Nulls and empty texts have none."""
+def coder(model_file: str):
+    """Column function: text to its ids and the text that they decode to (struct<ids:array<int>,decoded:string>).
+
+    Nulls and empty texts have no ids and decode to the empty text. Both fields come from one pass, a run at a time, so a
+    text is encoded once and a task holds no more than a run beside its batch and what it returns for it.
+    """
     from pyspark.sql.functions import arrow_udf
 
-    @arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        model = codec(model_file)
-        ids, sizes = [np.zeros(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)]
+    @arrow_udf("struct<ids:array<int>,decoded:string>")
+    def code(texts: pa.Array) -> pa.Array:
+        model, parts = codec(model_file), []
         for run in chunks((t.as_py() for t in texts), RUN_CHARS):
-            found, offsets = model.encode(run)
-            ids.append(found)
-            sizes.append(np.diff(offsets))
-        offsets = np.cumsum(np.concatenate(sizes)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-
-    return encode
+            ids, offsets = model.encode(run)
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+            parts.append(pa.StructArray.from_arrays([lists, pa.array(model.decode(ids, offsets), pa.string())], fields=_CODED))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(_CODED))
 
+    return code
 
-def decoder(model_file: str):
-    """Column function: ids (array<int>, null: none) to their text."""
-    from pyspark.sql.functions import arrow_udf
-
-    @arrow_udf("string")
-    def decode(lists: pa.Array) -> pa.Array:
-        model, out = codec(model_file), []
-        for at in range(0, len(lists), 256):
-            part = lists.slice(at, 256)
-            sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = part.flatten().to_numpy(zero_copy_only=False)
-            out += model.decode(ids, np.concatenate(([0], np.cumsum(sizes))))
-        return pa.array(out, type=pa.string())
 
-    return decode
+_CODED = [pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.string())]
 
 
 def encode_decode(
@@ -385,5 +372,5 @@ def encode_decode(
     the character that stands for them in pieces decode to blanks, all else comes back as it was. Rows stay where
     they are, repeated ones too; columns of the two new names are replaced, no other column is touched.
     """
-    ids: Column = encoder(model_file)(F.col(text_col))
-    return docs.withColumn(ids_col, ids).withColumn(decoded_col, decoder(model_file)(F.col(ids_col)))
+    coded: Column = coder(model_file)(F.col(text_col))
+    return docs.withColumns({ids_col: coded["ids"], decoded_col: coded["decoded"]})

@@ -78,3 +78,9 @@ def test_columns(spark):
     got = sorted((r.doc_id, r.text or "", len(r.ids), r.decoded) for r in out.collect())
     assert got == [(1, "", 0, ""), (1, "", 0, ""), (2, "a  b", 3, "a  b"), (2, "a  b", 3, "a  b")]
     assert S.encode_decode(df.limit(0), MODEL).select(F.size("ids")).collect() == []
+
+
+def test_a_text_is_encoded_once_for_ids_and_decoded_text(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = S.encode_decode(df, MODEL).select(F.size("ids"), "ids", "decoded")._jdf.queryExecution().executedPlan().toString()
+    assert "pythonUDF0" in plan and "pythonUDF1" not in plan

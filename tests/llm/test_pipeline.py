@@ -63,3 +63,11 @@ def test_stages_keep_the_columns_of_documents(spark):
         assert stage(spark, docs, FOLDER).dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_the_encoder_takes_small_batches(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(5)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, FOLDER)
+        most = int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+        assert most <= (1 << 20 if name == "SentencePiece encoding" else 8 << 20)
