@@ -72,6 +72,16 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(P.WHITE_SPACE))
 
 
+def is_blank(text: Column) -> Column:
+    """Whether a text holds nothing but white space."""
+    return F.ltrim(text, F.lit(P.WHITE_SPACE)) == ""
+
+
+def split_lines(text: Column) -> Column:
+    """The lines of a text, as split by `P.EOL`; splitting by one plain character needs no pattern."""
+    return F.split(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "\n", -1)
+
+
 def strip_tags(text: Column) -> Column:
     """Remove from the first ``<`` to the last ``>`` of each line."""
     return F.regexp_replace(text, P.TAG, "")
@@ -82,6 +92,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(P.WORD), F.lit(0))
 
 
+def has_words(text: Column) -> Column:
+    """Whether a text has a word outside of its tags. What stands before the first ``<`` is in no tag and decides most texts."""
+    return F.substring_index(text, "<", 1).rlike(P.WORD) | (text.contains("<") & strip_tags(text).rlike(P.WORD))
+
+
 def digit_share(text: Column, sample_chars: int | None = P.DIGIT_SAMPLE_CHARS) -> Column:
     """Share of digits in the head sample of a text (whole text with ``sample_chars=None``); NULL if empty."""
     sample = text if sample_chars is None else F.substring(text, 1, sample_chars)
@@ -106,8 +121,17 @@ def is_number_or_missing(field: Column) -> Column:
 
 def to_number(field: Column) -> Column:
     """Finite value of a field or NULL; negative zero becomes zero so that equal values compare equal."""
-    value = F.when(field.rlike(P.FINITE_NUMBER), field.try_cast("double")) + F.lit(0.0)
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+    value = literal_value(field)
+    return F.when(is_finite(value), value)
+
+
+def literal_value(field: Column) -> Column:
+    """`to_number` without its last step: a literal too large for a double is infinite here."""
+    return F.when(field.rlike(P.FINITE_NUMBER), field.try_cast("double")) + F.lit(0.0)
+
+
+def is_finite(value: Column) -> Column:
+    return F.abs(value) < F.lit(float("inf"))
 
 
 def split_fields_by(line: Column, delimiter: str) -> Column:

@@ -189,3 +189,20 @@ def test_both_forms_follow_the_rules_on_random_texts(spark):
     for h in result.headers.orderBy("header").collect():
         by_line[h["path"]][4].append(h["header"])
     assert {i: tuple(t) for i, t in by_line.items()} == {i: e for i, e in expected.items() if e is not None}
+
+
+def test_cells_are_read_once(spark):
+    texts = spark.createDataFrame([("x",)], "text string")
+    plan = find_tables(texts).select("found.columns")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(P.FINITE_NUMBER) == 1
+
+
+def test_values_too_large_for_a_double_are_none(spark):
+    rows = [f"{v},x" for v in ("1e999", "-1e999", "1", "-0", "nan", "3", "inf", "4")]
+    text = "\n".join([*rows, "1,x", "2,x", *["end"] * 5])
+    for hidden in (None, "hidden"):
+        df = spark.createDataFrame([(0, text, [4.5, None])], "path int, text string, hidden array<double>")
+        [column] = table_columns(find_tables(df, sentinels=hidden), "path").collect()
+        left = [1.0, 0.0, 3.0, 1.0, 2.0] + [4.0] * (hidden is None)
+        assert (column["n_values"], column["n_rows"], column["total"]) == (len(left), 10, sum(left))
+        assert column["min"] == [0.0, 1.0, 2.0] and column["max"] == ([4.0, 3.0, 2.0] if hidden is None else [3.0, 2.0, 1.0])

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lakeprofile.functions import patterns as P
 from lakeprofile.functions import scalar as S
 
 
@@ -130,3 +131,20 @@ def test_topic_lists(spark):
     assert evaluate(spark, topics, S.strongest_topic, type_) == [3, 1]
     scaled = evaluate(spark, topics, S.normalise, type_)
     assert [[tuple(x) for x in t] for t in scaled] == [[(0, 0.25), (3, 0.75)], [(2, 0.5), (1, 0.5)]]
+
+
+def test_lines_are_those_of_the_pattern(spark):
+    texts = ["", "\n", "a\r\nb\rc\nd", "\r\r\n\n\r", "a\r", "\n\r\na", "x", None]
+    by_pattern = evaluate(spark, texts, lambda x: F.split(x, P.EOL, -1))
+    assert evaluate(spark, texts, S.split_lines) == by_pattern
+
+
+def test_blank_texts(spark):
+    texts = ["", " \t\n\x0b\f\r", "a", " a ", "\u00a0", "\u2028", "\x1f", None]
+    assert evaluate(spark, texts, S.is_blank) == [None if b is None else not b for b in evaluate(spark, texts, lambda x: x.rlike(r"\S"))]
+
+
+def test_texts_with_words_outside_of_tags(spark):
+    texts = ["abc", "ab", "ab<c>d", "<abc>", "a<\nabc>", "<a> abc", "<a> abc <b>", "ab<abc\nabc>", "12 abc<x>", "", "ab c<>", "ab<>c", None]
+    cut = evaluate(spark, texts, lambda x: F.size(S.words(S.strip_tags(x))) > 0)
+    assert evaluate(spark, texts, S.has_words) == [None if t is None else c for t, c in zip(texts, cut)]
