@@ -192,3 +192,32 @@ def test_small_files_share_the_tasks_that_read_their_lines(spark, tmp_path):
         stores.spread = real
     assert lines.count() == 600
     assert seen[0].rdd.getNumPartitions() <= 64
+
+
+def test_small_files_share_a_batch(spark, tmp_path, monkeypatch):
+    """Files are handed on together up to a bound of bytes, each with its own row, content and error."""
+    paths = [f"{tmp_path}/{i}" for i in range(5)]
+    for i in (0, 1, 3, 4):
+        (tmp_path / str(i)).write_bytes(b"x" * i)
+    rows = spark.createDataFrame([(p, None, i) for i, p in enumerate(paths)], "path string, modificationTime timestamp, length bigint")
+
+    class Dealt:
+        schema = rows.schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, read, _):
+            return read
+
+    monkeypatch.setattr(stores, "spread", lambda _: Dealt())
+    read = stores.read_listed(rows)
+    [batch] = rows.coalesce(1).toArrow().combine_chunks().to_batches()
+    for most, sizes in ((4 << 20, [5]), (1, [2, 2, 1])):
+        monkeypatch.setattr(stores, "CHUNK_BYTES", most)
+        parts = list(read([batch]))
+        assert [len(p) for p in parts] == sizes
+        found = [r for p in parts for r in p.to_pylist()]
+        assert [r["path"] for r in found] == paths and [r["length"] for r in found] == list(range(5))
+        assert [r["content"] for r in found] == [b"", b"x", None, b"xxx", b"xxxx"]
+        assert [r["error_kind"] for r in found] == [None, None, "vanished", None, None]
