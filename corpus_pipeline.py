@@ -10,14 +10,13 @@ from lakeprofile.llm.catalog import TOKENIZERS
 from lakeprofile.llm.common import stored
 
 LEAST_SCORE = 0.2  # documents further from every learned language are rejected
-BATCH_BYTES = 8 << 20  # of rows that a stage hands to Python at once
-TEXT_BYTES = 1 << 20  # of those of the encoder, which returns over three times the bytes it is given
+BATCH_BYTES = 1 << 20  # of rows that a stage hands to Python at once; it may return several times as many
 
 
-def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+def bounded_batches(spark: SparkSession) -> None:
     """Cuts the batches of this session that go to Python by bytes. Several stages share the Python workers of an
     executor, and what a worker holds follows from the bytes of its batches, not from their number of rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +70,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text has no ids and a null ``round_trip``, an empty one no ids and a true one. Repeated rows each have their
     row; an empty table gives none.
     """
-    bounded_batches(spark, TEXT_BYTES)
+    bounded_batches(spark)
     done = sentencepiece_codec.encode_decode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
     return done.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeprofile.llm.common import chunks, free_names, light, stored
+from lakeprofile.llm.common import chunks, free_names, light, settle, stored
 from lakeprofile.llm.components import components
 
 WORDS_PER_SHINGLE = 5
@@ -210,6 +210,8 @@ def signatures(docs: DataFrame, rule: Rule, counts) -> DataFrame:
                 ],
                 names=["id", "h", "n", "sid", "prefix", "bits"],
             )
+        del shingler  # with the words it knows, before the process goes on to other tasks
+        settle()
 
     rows = docs.select("id", "text", F.xxhash64("text").alias("h"))
     return rows.mapInArrow(sign, "id bigint, h bigint, n bigint, sid binary, prefix array<bigint>, bits array<bigint>")
@@ -301,6 +303,8 @@ def whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame) -> DataFrame:
                     ids.append(_set_id(tokens))
                     sets.append(tokens.astype("<u8").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], names=["sid", "tokens"])
+        del shingler
+        settle()
 
     found = docs.select("text", F.xxhash64("id").alias("place")).mapInArrow(cut, "sid binary, tokens binary")
     found = stored(found, "sets")

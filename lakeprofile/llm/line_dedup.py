@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeprofile.llm.common import free_names, stored
+from lakeprofile.llm.common import free_names, settle, stored
 from lakeprofile.operators.ranks import global_positions
 
 LEAST_WORDS = 50  # words of a run whose later copies are deleted
@@ -156,8 +156,14 @@ def delete_repeated_runs(
                 deleted = set(gone)
                 text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in deleted)
             out.append(text)
-        return pa.array(out, type=pa.string())
-
+        done = pa.array(out, type=pa.string())
+        del out
+        settle()
+        return done
+
+    # Else a condition on the text that follows, moved below this column, would have each text cut a second time, in
+    # Python workers of its own.
+    cut = cut.asNondeterministic()
     # The key of a document: its id, and a hash of its text and of whether the id is null.
     doc, h, gone = free_names(docs, "doc", "h", "gone")
     whole_key = (F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))), F.xxhash64(F.col(text_col), F.col(id_col).isNull()))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeprofile.llm.common import chunks
+from lakeprofile.llm.common import chunks, settle
 
 SPACE = "▁"  # the piece character that stands for a blank
 CACHED_WORDS = 100_000  # words of the younger generation that a task remembers; then it becomes the older one
@@ -91,7 +92,7 @@ class Codec:
         self.piece_lengths = np.array([len(t) for t in texts], dtype=np.int64)
         self.piece_starts = np.concatenate(([0], np.cumsum(self.piece_lengths)[:-1]))
         self.piece_bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        self._forget()
+        self.forget()
 
     def _cut_blanks(self, longest: int) -> None:
         """Let long runs of blanks begin with words of the longest blank piece, if this model cuts them that way.
@@ -106,7 +107,7 @@ class Codec:
         if all(b == whole + a for a, b in zip(runs, runs[longest:])):
             self.blanks = longest
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.young, self.old = _Words(), _Words()
 
     # ---- merge rounds
@@ -336,7 +337,7 @@ def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
 
 @lru_cache(maxsize=2)
 def codec(model_file: str) -> Codec:
-    """One codec per task process and model."""
+    """One codec per process and model; a task has it forget its words when it ends."""
     return Codec(model_file)
 
 
@@ -344,22 +345,34 @@ def coder(model_file: str):
     """Column function: text to its ids and the text that they decode to (struct<ids:array<int>,decoded:string>).
 
     Nulls and empty texts have no ids and decode to the empty text. Both fields come from one pass, a run at a time, so a
-    text is encoded once and a task holds no more than a run beside its batch and what it returns for it.
+    text is encoded once and a task holds no more than a run beside its batch and what it returns for it. Words are
+    forgotten with the task: its process lives on, through stages that have no use for them.
     """
     from pyspark.sql.functions import arrow_udf
 
     @arrow_udf("struct<ids:array<int>,decoded:string>")
-    def code(texts: pa.Array) -> pa.Array:
-        model, parts = codec(model_file), []
-        for run in chunks((t.as_py() for t in texts), RUN_CHARS):
-            ids, offsets = model.encode(run)
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            parts.append(pa.StructArray.from_arrays([lists, pa.array(model.decode(ids, offsets), pa.string())], fields=_CODED))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(_CODED))
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = codec(model_file)
+        try:
+            for texts in batches:
+                yield coded(model, texts)
+        finally:
+            model.forget()
+            settle()
 
     return code
 
 
+def coded(model: Codec, texts: pa.Array) -> pa.Array:
+    """The ids of each text of a batch and the text that they decode to."""
+    parts = []
+    for run in chunks((t.as_py() for t in texts), RUN_CHARS):
+        ids, offsets = model.encode(run)
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+        parts.append(pa.StructArray.from_arrays([lists, pa.array(model.decode(ids, offsets), pa.string())], fields=_CODED))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(_CODED))
+
+
 _CODED = [pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.string())]
 
 
@@ -372,5 +385,5 @@ def encode_decode(
     the character that stands for them in pieces decode to blanks, all else comes back as it was. Rows stay where
     they are, repeated ones too; columns of the two new names are replaced, no other column is touched.
     """
-    coded: Column = coder(model_file)(F.col(text_col))
-    return docs.withColumns({ids_col: coded["ids"], decoded_col: coded["decoded"]})
+    both: Column = coder(model_file)(F.col(text_col))
+    return docs.withColumns({ids_col: both["ids"], decoded_col: both["decoded"]})

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -84,3 +85,15 @@ def test_a_text_is_encoded_once_for_ids_and_decoded_text(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = S.encode_decode(df, MODEL).select(F.size("ids"), "ids", "decoded")._jdf.queryExecution().executedPlan().toString()
     assert "pythonUDF0" in plan and "pythonUDF1" not in plan
+
+
+def test_words_are_forgotten_with_the_task():
+    code, model = S.coder(MODEL).func, S.codec(MODEL)
+    batches = [pa.array(["one two", None]), pa.array(["two three"])]
+    first = next(results := code(iter(batches)))
+    assert first.field("decoded").to_pylist() == ["one two", ""] and model.young.known
+    assert next(results).field("decoded").to_pylist() == ["two three"]
+    assert list(results) == [] and not model.young.known and not model.old.known
+    next(stopped := code(iter(batches)))
+    stopped.close()  # a task that does not read to its end
+    assert not model.young.known

@@ -71,3 +71,16 @@ def test_the_encoder_takes_small_batches(spark):
         stage(spark, docs, FOLDER)
         most = int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
         assert most <= (1 << 20 if name == "SentencePiece encoding" else 8 << 20)
+
+
+def test_line_dedup_cuts_a_text_once(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    plan = corpus_pipeline.delete_lines(spark, docs, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [cut(") == 1, plan
+
+
+def test_all_stages_take_small_batches(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(5)
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, FOLDER)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 20
