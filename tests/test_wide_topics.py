@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lakeprofile.operators.text import tokenize
 from lakeprofile.plans import wide_topics as W
 from lakeprofile.plans.topics import infer_topics, train_topics
 
@@ -76,3 +78,51 @@ def test_steps_equal_plain_loops(spark):
     assert found.keys() == plain.keys()
     for w in plain:
         assert found[w] == pytest.approx(plain[w], rel=1e-3)  # texts stop at a change of a thousandth
+
+
+def weights_of(model):
+    return dict(zip(model.frequent, model.weights)) | {r["term"]: np.array(r["weights"]) for r in model.rare.collect()}
+
+
+def test_a_text_is_fitted_as_one_text(spark):
+    """Every occurrence of a word used to be numbered as a text of its own."""
+    docs = spark.createDataFrame(texts(), "doc_id int, text string")
+    bag = tokenize(docs).select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    found, expected = weights_of(train_topics(docs, k=2, largest=20, iterations=3)), weights_of(W.train_wide(bag, "doc_id", 2, 7, 3))
+    assert found.keys() == expected.keys()
+    for word, weights in expected.items():
+        assert found[word] == pytest.approx(weights, rel=1e-9)
+
+
+def test_chunks_and_blocks_do_not_matter(spark, monkeypatch):
+    docs = spark.createDataFrame([*texts(), (50, "abaword " * 300)], "doc_id int, text string").coalesce(2)
+    found = []
+    for chunk_words, numbers in ((1 << 21, 1 << 21), (100, 16)):
+        monkeypatch.setattr(W, "CHUNK_WORDS", chunk_words)
+        monkeypatch.setattr(W, "BLOCK_NUMBERS", numbers)
+        model = train_topics(docs, k=2, largest=20, iterations=2)
+        topics = {r["doc_id"]: [t["weight"] for t in r["topics"] or []] for r in infer_topics(docs, model).collect()}
+        found.append((weights_of(model), topics))
+    (weights, topics), (others, other_topics) = found
+    assert weights.keys() == others.keys() and topics.keys() == other_topics.keys()
+    for word in weights:
+        assert others[word] == pytest.approx(weights[word], rel=1e-9)
+    for i in topics:
+        assert other_topics[i] == pytest.approx(topics[i], rel=1e-9)
+
+
+def test_texts_are_fitted_as_by_plain_loops():
+    rng = np.random.default_rng(1)
+    sizes = np.array([3, 0, 7, 1, 40, 7])
+    beta, ids, n = rng.random((30, 4)) + 0.01, rng.integers(0, 30, sizes.sum()), rng.integers(1, 300, sizes.sum()).astype("u2")
+    gamma, share = W._fit(beta, ids, n, sizes, 0.25)
+    for i, start in enumerate(np.cumsum(sizes) - sizes):
+        words, counts = beta[ids[start : start + sizes[i]]], n[start : start + sizes[i]].astype(float)
+        plain = np.full(4, 0.25 + counts.sum() / 4)
+        for _ in range(W.INNER_STEPS if sizes[i] else 0):
+            theta, before = np.exp(W.digamma(plain)), plain
+            plain = 0.25 + theta * ((counts / (words @ theta))[:, None] * words).sum(axis=0)
+            if np.abs(plain - before).mean() < W.INNER_CHANGE:
+                break
+        assert gamma[i] == pytest.approx(plain, rel=1e-9)
+        assert share[start : start + sizes[i]] == pytest.approx(counts / (words @ np.exp(W.digamma(plain))), rel=1e-9)
